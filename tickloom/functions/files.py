@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import symbols, timefmt
+from tickloom.plans.pin import pin
 
 def file_id(
     subject: Column, source: Column, exchange: Column, instrument: Column, time: Column
@@ -50,19 +51,16 @@ def parse_file_ids(rows: DataFrame, column: str = "file_id") -> DataFrame:
         *[F.when(F.startswith(low, F.lit(name + ":")), F.lit(name)) for name in symbols.SUBJECTS]
     )
     rest = F.split(F.substring(low, F.length("subject") + 2, F.length(low)), ":", 4)
+    known = pin(rows, subject=subject).where(F.col("subject").isNotNull())
+    parts = pin(known, _rest=rest).where(F.size("_rest") == 4)
     return checked_parts(
-        rows.withColumn("subject", subject)
-        .where(F.col("subject").isNotNull())
-        .withColumn("_rest", rest)
-        .where(F.size("_rest") == 4)
-        .select(
-            *rows.columns,
-            "subject",
-            F.get("_rest", 0).alias("source"),
-            F.get("_rest", 1).alias("exchange"),
-            F.get("_rest", 2).alias("instrument"),
-            F.upper(F.get("_rest", 3)).alias("time"),
-        )
+        pin(
+            parts,
+            source=F.get("_rest", 0),
+            exchange=F.get("_rest", 1),
+            instrument=F.get("_rest", 2),
+            time=F.upper(F.get("_rest", 3)),
+        ).drop("_rest")
     )
 
 
@@ -111,32 +109,27 @@ def parse_positional_paths(rows: DataFrame, column: str = "path") -> DataFrame:
     def folder(back: int) -> Column:
         return F.try_element_at("_folders", F.lit(-back))
 
-    stem = F.split(F.get("_name", 0), "_")
-    long = F.length(F.get("_stem", 0)) > 10
-    skip = F.when(long, 2).otherwise(1)
     day, clock = F.get("_stem", 0), F.get("_stem", 1)
     # Long names keep the time of day as HHMMSS_nnnnnnnnnZ.
     full = F.concat(
         F.substring(day, 1, 13), F.lit(":"), F.substring(day, 14, 2), F.lit(":"),
         F.substring(day, 16, 2), F.lit("."), clock,
     )
-    named = (
-        rows.withColumn("_folders", folders)
-        .withColumn("_name", F.split(folder(1), r"\."))
-        .where((F.size("_name") == 3) & (F.get("_name", 2) == "parquet"))
-        .withColumn("_stem", stem)
-        .where(F.size("_stem").between(5, 7))
-        .withColumn("_skip", skip)
+    named = pin(rows, _folders=folders)
+    named = pin(named, _name=F.split(folder(1), r"\."))
+    named = named.where((F.size("_name") == 3) & (F.get("_name", 2) == "parquet"))
+    named = pin(named, _stem=F.split(F.get("_name", 0), "_")).where(
+        F.size("_stem").between(5, 7)
     )
+    named = pin(named, _skip=F.when(F.length(day) > 10, 2).otherwise(1))
     rest = F.slice("_stem", F.col("_skip") + 3, F.size("_stem"))
-    parts = named.select(
-        *rows.columns,
-        "_folders",
-        F.get("_name", 1).alias("subject"),
-        F.get("_stem", F.col("_skip")).alias("source"),
-        F.get("_stem", F.col("_skip") + 1).alias("exchange"),
-        F.array_join(rest, "/").alias("instrument"),
-        F.when(F.col("_skip") == 2, full).otherwise(day).alias("time"),
+    parts = pin(
+        named,
+        subject=F.get("_name", 1),
+        source=F.get("_stem", F.col("_skip")),
+        exchange=F.get("_stem", F.col("_skip") + 1),
+        instrument=F.array_join(rest, "/"),
+        time=F.when(F.col("_skip") == 2, full).otherwise(day),
     )
     agree = (
         (folder(6) == F.col("subject"))
@@ -145,4 +138,4 @@ def parse_positional_paths(rows: DataFrame, column: str = "path") -> DataFrame:
         & (folder(3) == symbols.to_path(F.col("instrument")))
         & (folder(2) == F.substring("time", 1, 4))
     )
-    return checked_parts(parts.where(agree).drop("_folders"))
+    return checked_parts(parts.where(agree).drop("_folders", "_name", "_stem", "_skip"))

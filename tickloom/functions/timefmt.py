@@ -9,9 +9,11 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.plans.pin import pin
+
 NS = 10**9
 YEARS = (1900, 2100)
 
@@ -167,52 +169,59 @@ def span_text(start_ns: Column, end_ns: Column, short: bool = True) -> Column:
     )
 
 
-def _unit_ends(text: Column) -> tuple[Column, Column]:
-    """Start and end of the calendar unit a text names; nulls if it names none."""
-
-    def part(form: str, group: int) -> Column:
-        return F.regexp_extract(text, f"^{form}$", group).try_cast("int")
+# ISO text, cut off after any part. Fixed value.
+ISO_FORM = (
+    r"\A\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?)?)?)?\z"
+)
 
-    def midnight(year: Column, month: Column, day: Column) -> Column:
-        return F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0))
 
-    one = F.lit(1)
-    start = F.coalesce(
-        midnight(part(YEAR_FORM, 1), one, one),
+def parse_time(text: Column) -> Column:
+    """TIMESTAMP of an ISO text or a quarter, cut-off tails and ``Z`` allowed; null if unreadable."""
+    bare = F.replace(text, F.lit("Z"), F.lit(""))
+    month = F.substring(bare, 6, 1).try_cast("int") * 3 - 2
+    return F.coalesce(
         F.when(
-            part(QUARTER_FORM, 2).between(1, 4),
-            midnight(part(QUARTER_FORM, 1), part(QUARTER_FORM, 2) * 3 - 2, one),
+            bare.rlike(rf"\A{QUARTER_FORM}\z"),
+            F.concat(F.substring(bare, 1, 4), F.lit("-"), month.cast("string")),
         ),
-        midnight(part(MONTH_FORM, 1), part(MONTH_FORM, 2), one),
-        midnight(part(DAY_FORM, 1), part(DAY_FORM, 2), part(DAY_FORM, 3)),
-    )
-    end = (
-        F.when(text.rlike(f"^{YEAR_FORM}$"), start + F.expr("interval 1 year"))
-        .when(text.rlike(f"^{QUARTER_FORM}$"), start + F.expr("interval 3 months"))
-        .when(text.rlike(f"^{MONTH_FORM}$"), start + F.expr("interval 1 month"))
-        .when(text.rlike(f"^{DAY_FORM}$"), start + F.expr("interval 1 day"))
+        F.when(bare.rlike(r"[T ]\d{1,2}\z"), F.concat(bare, F.lit(":00"))),
+        F.when(bare.rlike(ISO_FORM), bare),
+    ).try_cast("timestamp")
+
+
+def _after(text: Column, start: Column) -> Column:
+    """End of the calendar unit a text names; its time if it names none."""
+    return F.coalesce(
+        *[
+            F.when(text.rlike(rf"\A{form}\z"), start + F.expr(f"interval {step}"))
+            for form, step in (
+                (YEAR_FORM, "1 year"),
+                (QUARTER_FORM, "3 months"),
+                (MONTH_FORM, "1 month"),
+                (DAY_FORM, "1 day"),
+            )
+        ],
+        start,
     )
-    return start, end
 
 
-def parse_time(text: Column) -> Column:
-    """TIMESTAMP of an ISO text, ``Z`` and cut-off tails allowed; null if unreadable."""
-    bare = F.replace(text, F.lit("Z"), F.lit(""))
-    hour = F.concat(bare, F.lit(":00"))
-    return F.when(bare.rlike(r"[T ]\d{1,2}$"), hour.try_cast("timestamp")).otherwise(
-        F.coalesce(_unit_ends(bare)[0], bare.try_cast("timestamp"))
+def periods(rows: DataFrame, text: str) -> DataFrame:
+    """Add ``start`` and ``end`` TIMESTAMP of a period text, null if unreadable."""
+    left = F.substring_index(text, "/", 1)
+    right = F.substring_index(text, "/", -1)
+    parts = pin(rows, _left=left, _right=right)
+    times = pin(
+        parts, start=parse_time(F.col("_left")), _last=parse_time(F.col("_right"))
+    )
+    end = _after(F.col("_right"), F.col("_last"))
+    # Without a slash both sides are the same text, and it must name a unit.
+    good = F.contains(F.col(text), F.lit("/")) | (end > F.col("_last"))
+    whole = good & F.col("start").isNotNull() & end.isNotNull()
+    return times.select(
+        *rows.columns,
+        F.when(whole, F.col("start")).alias("start"),
+        F.when(whole, end).alias("end"),
     )
-
-
-def period_ends(text: Column) -> tuple[Column, Column]:
-    """Column form of :func:`period`: start and end TIMESTAMP, nulls if unreadable."""
-    ranged = F.contains(text, F.lit("/"))
-    left = F.when(ranged, F.substring_index(text, "/", 1)).otherwise(text)
-    right = F.when(ranged, F.substring_index(text, "/", -1))
-    whole_start, whole_end = _unit_ends(text)
-    start = F.when(ranged, F.coalesce(_unit_ends(left)[0], parse_time(left))).otherwise(whole_start)
-    end = F.when(ranged, F.coalesce(_unit_ends(right)[1], parse_time(right))).otherwise(whole_end)
-    return start, end
 
 
 def year_in_range(year: Column) -> Column:
@@ -228,12 +237,13 @@ def calendar_text(time_ns: Column, unit: str) -> Column:
 
 def calendar_parts(text: Column) -> Column:
     """Year, month and day of an ISO calendar text; null if malformed or out of range."""
-    year = F.regexp_extract(text, r"^(\d{4})", 1).try_cast("int")
-    month = F.regexp_extract(text, r"^\d{4}-(\d{2})", 1).try_cast("int")
-    day = F.regexp_extract(text, r"^\d{4}-\d{2}-(\d{2})$", 1).try_cast("int")
-    first = F.lit(1)
-    real = F.try_make_timestamp(
-        year, F.coalesce(month, first), F.coalesce(day, first), F.lit(0), F.lit(0), F.lit(0)
+    first = F.when(text.rlike(r"\A\d{4}(-\d{2}(-\d{2})?)?\z"), text).try_cast("date")
+    size = F.length(text)
+    return F.when(
+        first.isNotNull() & year_in_range(F.year(first)),
+        F.struct(
+            F.year(first).alias("year"),
+            F.when(size >= 7, F.month(first)).alias("month"),
+            F.when(size == 10, F.day(first)).alias("day"),
+        ),
     )
-    good = text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$") & year_in_range(year) & real.isNotNull()
-    return F.when(good, F.struct(year.alias("year"), month.alias("month"), day.alias("day")))

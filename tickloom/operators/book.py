@@ -62,29 +62,26 @@ def market_stats(messages: DataFrame) -> DataFrame:
 # -- sequences -------------------------------------------------------------------------
 
 
-def _by_seq(rows: DataFrame, keys: Sequence[str], **options) -> DataFrame:
-    return blocks.cut_blocks(rows, keys, ["seq"], SEQ_WIDTH, **options)
-
-
-def seq_gaps(messages: DataFrame, keys: Sequence[str] = ("market_id",), **options) -> DataFrame:
+def seq_gaps(messages: DataFrame, keys: Sequence[str] = ("market_id",)) -> DataFrame:
     """Places where the sequence number does not rise by one: after ``seq_before`` comes ``seq``."""
     keys = list(keys)
-    rows = _by_seq(messages.select(*keys, "seq"), keys, **options)
+    rows = blocks.cut_blocks(messages.select(*keys, "seq"), keys, ["seq"], SEQ_WIDTH, unique=True)
     seen = blocks.neighbors(rows, keys, ["seq"], back={"seq_before": "seq"})
     missing = F.col("seq") - F.col("seq_before") - 1
     return seen.where(missing != 0).select(*keys, "seq_before", "seq", missing.alias("missing"))
 
 
-def estimate_time(messages: DataFrame, keys: Sequence[str] = ("market_id",), **options) -> DataFrame:
+def estimate_time(messages: DataFrame, keys: Sequence[str] = ("market_id",)) -> DataFrame:
     """Bound each message's time by the nearest times at or before and at or after it.
 
     Adds ``time_from``, ``time_to`` and ``time_error`` (their distance).
     """
     keys = list(keys)
-    rows = _by_seq(messages, keys, **options)
-    rows = blocks.last_known(rows, keys, ["seq"], {"time_from": "time_us"})
-    rows = blocks.next_known(rows, keys, ["seq"], {"time_to": "time_us"})
-    return rows.withColumn("time_error", F.col("time_to") - F.col("time_from")).drop(blocks.BLOCK)
+    rows = blocks.cut_blocks(messages, keys, ["seq"], SEQ_WIDTH, unique=True)
+    around = blocks.known_around(
+        rows, keys, ["seq"], last={"time_from": "time_us"}, next={"time_to": "time_us"}
+    )
+    return around.withColumn("time_error", F.col("time_to") - F.col("time_from")).drop(blocks.BLOCK)
 
 
 # -- books -----------------------------------------------------------------------------

@@ -48,7 +48,7 @@ def shadowed_files(catalog: DataFrame, **options) -> DataFrame:
         .withColumn("clip_start", F.greatest("_s", "_covered"))
         .withColumn("_kept", F.when(keep, F.struct("file_id", "s", "e")))
     )
-    named = blocks.last_known(kept, ["market"], ORDER, {"shadow": "_kept"})
+    named = blocks.known_around(kept, ["market"], ORDER, last={"shadow": "_kept"})
     return named.select(
         *catalog.columns,
         "keep",

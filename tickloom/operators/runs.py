@@ -13,7 +13,7 @@ RUN_KEYS = ["subject", "source", *MARKET]
 SEQ_WIDTH = 100_000
 
 
-def partition_runs(records: DataFrame, **options) -> DataFrame:
+def partition_runs(records: DataFrame) -> DataFrame:
     """Chunks of consecutive rows with equal subject, source, market and UTC day.
 
     ``records``: ``batch_id, seq, time_ns`` and the run keys. A chunk is named by its first
@@ -22,7 +22,7 @@ def partition_runs(records: DataFrame, **options) -> DataFrame:
     batch, order = ["batch_id"], ["seq"]
     rows = records.withColumn("day", timefmt.day_of(F.col("time_ns")))
     rows = rows.withColumn("_key", F.struct(*RUN_KEYS, "day"))
-    cut = blocks.cut_blocks(rows, batch, order, SEQ_WIDTH, **options)
+    cut = blocks.cut_blocks(rows, batch, order, SEQ_WIDTH, unique=True)
     seen = blocks.neighbors(cut, batch, order, back={"_before": "_key"})
     changed = seen.withColumn(
         "_new", (~F.col("_key").eqNullSafe(F.col("_before"))).cast("int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import numbers, timefmt
 from tickloom.plans import blocks
+from tickloom.plans.settle import settle
 from tickloom.schema import MARKET, TIME_ORDER
 
 NS = 10**9
@@ -81,7 +82,7 @@ def sample_last(series: DataFrame, unit: str, include_last: bool = False) -> Dat
     )
     if not include_last:
         ends = series.groupBy(*MARKET).agg(F.max(_bucket(unit)).alias("last_bucket"))
-        sampled = sampled.join(ends, MARKET).where(F.col("bucket") < F.col("last_bucket"))
+        sampled = sampled.join(settle(ends, "ends"), MARKET).where(F.col("bucket") < F.col("last_bucket"))
     return sampled.select(*MARKET, "bucket", "row.*")
 
 
@@ -124,9 +125,9 @@ def scale_check(trades: DataFrame) -> DataFrame:
     )
 
 
-def monotonic_check(series: DataFrame, keys=MARKET, width: int = 100_000, **options) -> DataFrame:
+def monotonic_check(series: DataFrame, keys=MARKET, width: int = 100_000) -> DataFrame:
     """Rows per key whose time lies before that of the row ingested just before."""
-    by_seq = blocks.cut_blocks(series, keys, ["seq"], width, **options)
+    by_seq = blocks.cut_blocks(series, keys, ["seq"], width, unique=True)
     seen = blocks.neighbors(by_seq, keys, ["seq"], back={"time_before": "time_ns"})
     return seen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -182,7 +183,7 @@ def diff_int8(series: DataFrame, **options) -> DataFrame:
     half = price_diff(series, **options).withColumn("half", F.col("dp") / 2)
     high = half.groupBy(*MARKET).agg(F.max(F.abs("half")).alias("high"))
     unit = F.lit(float(INT8_MAX)) / F.nullif(F.col("high"), F.lit(0.0))
-    return half.join(high, MARKET).withColumn(
+    return half.join(settle(high, "high"), MARKET).withColumn(
         "dp_int8", F.coalesce(F.col("half") * unit, F.lit(0.0)).cast("tinyint")
     )
 
@@ -212,9 +213,9 @@ def portfolio(
         allowMissingColumns=True,
     )
     order = ["time_ns", "_rank", "seq"]
-    marked = blocks.last_known(
+    marked = blocks.known_around(
         blocks.cut_blocks(events, MARKET, order, width, **options),
-        MARKET, order, {"price": "mark"},
+        MARKET, order, last={"price": "mark"},
     ).where(F.col("_rank") == 1)
     accounts = ["account", *MARKET]
     held = blocks.running_sum(

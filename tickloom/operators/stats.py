@@ -1,8 +1,8 @@
 """Distributions of a value per group: histogram, entropy, exact quantile, Laplace fit.
 
 Every step is an aggregate with map-side combine, so a group with most of the rows is
-reduced where it lies. Small per-group tables join back by key; Spark broadcasts them
-while they are below its size threshold.
+reduced where it lies. Per-group summaries are settled (written with a known size) when
+they join back to the rows, so their first pass runs when the function is called.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.plans.settle import settle
 from tickloom.schema import MARKET
 
 # Rank error of the first guess of a quantile is rows / SKETCH.
@@ -39,6 +40,7 @@ def histogram(
         (F.when(flat, F.lit(1.0)).otherwise(F.col("_max") - F.col("_min")) / bins).alias("_step"),
         "_total",
     )
+    ends = settle(ends, "ends")
     place = F.floor((x - F.col("_lo")) / F.col("_step")).cast("int")
     counts = (
         rows.where(x.isNotNull())
@@ -89,6 +91,7 @@ def exact_median(
     bounds = guess.select(
         *keys, "n", F.get("_guess", 0).alias("_lo"), F.get("_guess", 1).alias("_hi")
     )
+    bounds = settle(bounds, "bounds")
     place = F.when(x < F.col("_lo"), -1).when(x > F.col("_hi"), 1).otherwise(0)
     counted = (
         rows.where(x.isNotNull())
@@ -117,7 +120,7 @@ def exact_median(
 
 def laplace_fit(rows: DataFrame, value: str, keys: Sequence[str] = MARKET) -> DataFrame:
     """Maximum-likelihood ``loc`` (median) and ``scale`` (mean distance from it)."""
-    center = exact_median(rows, value, keys)
+    center = settle(exact_median(rows, value, keys), "median")
     return (
         rows.where(F.col(value).isNotNull())
         .join(center, list(keys))

@@ -12,6 +12,7 @@ Key and order columns must not be null, and the order must be unique inside a ke
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ HOUR_NS = 3_600 * 10**9
 HOT_ROWS = 4_000_000
 # Up to this many hot blocks travel as a broadcast table (a few MB); beyond it they are joined.
 MAX_BROADCAST_HOT = 20_000
-PIECES = 1 << 20
+# Each cut narrows a range by its number of pieces, so few cuts reach a single value.
+MAX_CUTS = 8
 
 
 def cut_blocks(
@@ -33,49 +35,73 @@ def cut_blocks(
     order: Sequence[str],
     width: int,
     hot_rows: int = HOT_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
     """Add ``_block``: an ordered cut of each key's rows by ``order[0] div width``.
 
-    One small aggregate looks for blocks above ``hot_rows``. Those are cut again in order,
-    evenly over the range of the first order column that varies inside the block.
+    With ``unique`` the first order column has no value twice inside a key, so no block holds
+    more than ``width`` rows. Otherwise one small aggregate looks for blocks above
+    ``hot_rows``; usually there are none and a block is a number. Hot blocks are cut again in
+    order, evenly over the range of the first order column that varies inside the block, until
+    none is left; a block is then the list of its places in these cuts.
     """
     cut = df.withColumn(BLOCK, F.expr(f"`{order[0]}` div {int(width)}L"))
-    ranges = [(c, f"_lo_{i}", f"_hi_{i}") for i, c in enumerate(order)]
-    hot = (
+    if unique:
+        return cut
+    nested = cut.withColumn(BLOCK, F.array(BLOCK))
+    for depth in range(1, MAX_CUTS):
+        if depth == 1:
+            hot = _hot_blocks(cut, keys, order, hot_rows).withColumn(BLOCK, F.array(BLOCK))
+        else:
+            hot = _hot_blocks(
+                nested.where(F.size(BLOCK) == depth), keys, order, hot_rows
+            )
+        found = hot.limit(MAX_BROADCAST_HOT + 1).collect()
+        if not found:
+            return cut if depth == 1 else nested
+        if len(found) <= MAX_BROADCAST_HOT:
+            hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+        nested = _cut_again(nested, hot, keys, order, hot_rows).select(*df.columns, BLOCK)
+    return nested
+
+
+def _ranges(order: Sequence[str]) -> list[tuple[str, str, str]]:
+    return [(c, f"_lo_{i}", f"_hi_{i}") for i, c in enumerate(order)]
+
+
+def _hot_blocks(
+    cut: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int
+) -> DataFrame:
+    """Blocks above ``hot_rows`` in which some order column varies, with all ranges."""
+    ranges = _ranges(order)
+    varies = reduce(lambda a, b: a | b, [F.col(lo) < F.col(hi) for _, lo, hi in ranges])
+    return (
         cut.groupBy(*keys, BLOCK)
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             *[F.min(c).alias(lo) for c, lo, _ in ranges],
             *[F.max(c).alias(hi) for c, _, hi in ranges],
         )
-        .where(F.col("_rows") > hot_rows)
+        .where((F.col("_rows") > hot_rows) & varies)
     )
-    found = hot.limit(MAX_BROADCAST_HOT + 1).collect()
-    if not found:
-        return cut
-    if len(found) <= MAX_BROADCAST_HOT:
-        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
 
-    pieces = F.least(F.ceil(F.col("_rows") * F.lit(4.0) / hot_rows), F.lit(PIECES))
-    piece = F.coalesce(
+
+def _cut_again(
+    nested: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int
+) -> DataFrame:
+    pieces = F.greatest(F.ceil(F.col("_rows") * F.lit(4.0) / hot_rows), F.lit(2))
+    place = F.coalesce(
         *[
             F.when(
                 F.col(lo) < F.col(hi),
-                F.least(
-                    F.floor(
-                        (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo) + F.lit(1)) * pieces
-                    ),
-                    pieces - 1,
-                ),
+                F.floor((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo) + F.lit(1)) * pieces),
             )
-            for c, lo, hi in ranges
-        ],
-        F.lit(0),
+            for c, lo, hi in _ranges(order)
+        ]
     )
-    return (
-        cut.join(hot, [*keys, BLOCK], "left")
-        .withColumn(BLOCK, F.col(BLOCK) * PIECES + piece.cast("bigint"))
-        .select(*df.columns, BLOCK)
+    longer = F.concat(BLOCK, F.array(place.cast("bigint")))
+    return nested.join(hot, [*keys, BLOCK], "left").withColumn(
+        BLOCK, F.when(F.col("_rows").isNotNull(), longer).otherwise(F.col(BLOCK))
     )
 
 
@@ -166,53 +192,43 @@ def running_max_before(
     )
 
 
-def last_known(
-    cut: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str]
+def known_around(
+    cut: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    last: Mapping[str, str] | None = None,
+    next: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Last non-null value at or before each row, as ``{new: column}``."""
-    upto = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    before = _blocks(keys).rowsBetween(Window.unboundedPreceding, -1)
-    return _carried(
-        cut,
-        keys,
-        [F.last(c, ignorenulls=True).over(upto).alias(f"_in_{n}") for n, c in values.items()],
-        [
-            F.max_by(c, F.when(F.col(c).isNotNull(), _row(order))).alias(f"_last_{n}")
-            for n, c in values.items()
-        ],
-        [
-            F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_off_{n}")
-            for n in values
-        ],
-        [F.coalesce(f"_in_{n}", f"_off_{n}").alias(n) for n in values],
-    )
+    """Last non-null value at or before each row, and first at or after it, as ``{new: column}``.
 
-
-def next_known(
-    cut: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str]
-) -> DataFrame:
-    """First non-null value at or after each row, as ``{new: column}``."""
-    # Read backwards the frame grows row by row; a forward frame to the end would rescan the block.
+    Both directions share one shuffle. Read backwards the frame grows row by row; a forward
+    frame to the end would rescan the block for each row.
+    """
+    last, next = dict(last or {}), dict(next or {})
+    grow = (Window.unboundedPreceding, 0)
+    passed = (Window.unboundedPreceding, -1)
+    forth = _inside(keys, order).rowsBetween(*grow)
     back = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in order])
-    upto = back.rowsBetween(Window.unboundedPreceding, 0)
-    after = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(BLOCK).desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    back = back.rowsBetween(*grow)
+    before = _blocks(keys).rowsBetween(*passed)
+    after = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(*passed)
+
+    def known(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), _row(order))
+
+    def latest(c: str, over) -> Column:
+        return F.last(c, ignorenulls=True).over(over)
+
     return _carried(
         cut,
         keys,
-        [F.last(c, ignorenulls=True).over(upto).alias(f"_in_{n}") for n, c in values.items()],
-        [
-            F.min_by(c, F.when(F.col(c).isNotNull(), _row(order))).alias(f"_first_{n}")
-            for n, c in values.items()
-        ],
-        [
-            F.last(f"_first_{n}", ignorenulls=True).over(after).alias(f"_off_{n}")
-            for n in values
-        ],
-        [F.coalesce(f"_in_{n}", f"_off_{n}").alias(n) for n in values],
+        [latest(c, forth).alias(f"_in_{n}") for n, c in last.items()]
+        + [latest(c, back).alias(f"_in_{n}") for n, c in next.items()],
+        [F.max_by(c, known(c)).alias(f"_edge_{n}") for n, c in last.items()]
+        + [F.min_by(c, known(c)).alias(f"_edge_{n}") for n, c in next.items()],
+        [latest(f"_edge_{n}", before).alias(f"_off_{n}") for n in last]
+        + [latest(f"_edge_{n}", after).alias(f"_off_{n}") for n in next],
+        [F.coalesce(f"_in_{n}", f"_off_{n}").alias(n) for n in [*last, *next]],
     )
 
 

@@ -8,6 +8,7 @@ from tickloom.functions import files, symbols, timefmt
 from tickloom.operators import query as q
 from tickloom.operators import runs, series
 from tickloom.plans import views
+from tickloom.plans.pin import pin
 from tickloom.plans.registry import micros, query, rounded, sql_rounded
 from tickloom.plans.views import LONG_TRADES_SQL, PAIRS_SQL, TRADES_SQL
 from tickloom.sources import catalog, frames, lake, messages, raw
@@ -512,14 +513,11 @@ def _(spark, sf):
         *[F.when(e % 7 == i, F.date_trunc(unit, ts)) for i, unit in enumerate(_CUTS)], ts
     )
     below = F.when(e % 7 == 6, e % 1000).otherwise(0)
-    t = views.table(spark, sf, "events").select(
-        "event_id", (F.unix_micros(cut) * 1000 + below).alias("time_ns")
-    )
+    t = pin(views.table(spark, sf, "events"), time_ns=F.unix_micros(cut) * 1000 + below)
     ns = F.col("time_ns")
     day = timefmt.calendar_text(ns, "day")
     return (
-        t.withColumn("short", timefmt.iso_short(ns))
-        .withColumn("parts", timefmt.calendar_parts(day))
+        pin(t, short=timefmt.iso_short(ns), parts=timefmt.calendar_parts(day))
         .select(
             "event_id",
             "time_ns",
@@ -574,12 +572,9 @@ def _(spark, sf):
         ),
         F.lit("never"),
     )
-    start, end = timefmt.period_ends(F.col("text"))
-    spans = (
-        views.table(spark, sf, "orders")
-        .select("o_orderkey", text.alias("text"))
-        .select("o_orderkey", "text", micros(start).alias("start_us"), micros(end).alias("end_us"))
-    )
+    texts = pin(views.table(spark, sf, "orders"), text=text).select("o_orderkey", "text")
+    ends = timefmt.periods(texts, "text")
+    spans = pin(ends, start_us=micros("start"), end_us=micros("end")).drop("start", "end")
     s, e = F.col("start_us") * 1000, F.col("end_us") * 1000
     no = F.lit(False)
     return spans.select(
@@ -617,12 +612,12 @@ def _paths(spark, sf):
         timefmt.iso_full(F.col("ns")),
     )
     path = files.positional_path(
-        F.lit("trades"), F.lit("src-rest"), F.col("exchange"), F.col("instrument"), time
-    )
-    wrong = F.regexp_replace(path, r"/\d{4}/", "/1900/")
-    return rows.select(
-        k.alias("k"), F.concat(F.lit("/lake/"), F.when(k % 11 == 0, wrong).otherwise(path)).alias("path")
+        F.lit("trades"), F.lit("src-rest"), F.col("exchange"), F.col("instrument"), F.col("t")
     )
+    right = pin(pin(rows, t=time), right=path)
+    wrong = F.regexp_replace("right", r"/\d{4}/", "/1900/")
+    whole = F.concat(F.lit("/lake/"), F.when(k % 11 == 0, wrong).otherwise(F.col("right")))
+    return pin(right, path=whole).select(k.alias("k"), "path")
 
 
 @query(

@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Every time in the library is UTC, and lake files must carry timestamp statistics.
+# Every time in the library is UTC, and lake files must carry timestamp statistics. HotSpot
+# does not compile methods above 8000 bytes, so a longer generated stage runs as split methods.
 SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import schema
+from tickloom.plans.pin import pin
 
 # The first messages of a capture are replies to the login and the subscription. Fixed value.
 REPLIES = 2
@@ -26,8 +27,7 @@ def parse(frames: DataFrame) -> DataFrame:
     update = F.col("m.marketUpdate")
     kind = F.coalesce(*[F.when(update[f].isNotNull(), F.lit(k)) for k, f in KINDS.items()])
     return (
-        frames.where(F.col("seq") >= REPLIES)
-        .withColumn("m", F.from_json(text, schema.MESSAGE))
+        pin(frames.where(F.col("seq") >= REPLIES), m=F.from_json(text, schema.MESSAGE))
         .where(update.isNotNull())
         .select(
             "path",
@@ -96,25 +96,31 @@ def market_updates(messages: DataFrame) -> DataFrame:
     snapshot, delta = u["orderBookUpdate"], u["orderBookDeltaUpdate"]
     spread = u["orderBookSpreadUpdate"]
     spread_ns = lambda x: spread["timestamp"] * F.lit(10**6)
-    all_rows = [
-        trades,
-        levels(snapshot["bids"], "bid"),
-        levels(snapshot["asks"], "ask"),
-        levels(delta["bids"]["set"], "bid"),
-        levels(delta["asks"]["set"], "ask"),
-        removals(delta["bids"]["removeStr"], "bid"),
-        removals(delta["asks"]["removeStr"], "ask"),
-        rows(
-            F.when(spread.isNotNull(), F.array(spread["bid"])),
-            named("bid"), spread_ns, price_of, amount_of,
-        ),
-        rows(
-            F.when(spread.isNotNull(), F.array(spread["ask"])),
-            named("ask"), spread_ns, price_of, amount_of,
-        ),
-    ]
-    # An empty snapshot still replaces the book: it keeps one row without a level.
-    every = F.flatten(F.array(*[F.coalesce(r, F.array().cast(_ROW)) for r in all_rows]))
+    spread_side = lambda side: rows(
+        F.array(spread[side]), named(side), spread_ns, price_of, amount_of
+    )
+    none = F.array().cast(_ROW)
+
+    def together(*parts):
+        return F.concat(*[F.coalesce(p, none) for p in parts])
+
+    # Only the branch of the message's own kind is evaluated.
+    kind = F.col("kind")
+    every = (
+        F.when(kind == "trade", trades)
+        .when(kind == "snapshot", together(levels(snapshot["bids"], "bid"), levels(snapshot["asks"], "ask")))
+        .when(
+            kind == "delta",
+            together(
+                levels(delta["bids"]["set"], "bid"),
+                levels(delta["asks"]["set"], "ask"),
+                removals(delta["bids"]["removeStr"], "bid"),
+                removals(delta["asks"]["removeStr"], "ask"),
+            ),
+        )
+        .when(kind == "spread", F.concat(spread_side("bid"), spread_side("ask")))
+    )
+    # An empty snapshot still replaces the book: explode_outer keeps one row without a level.
     return messages.select(
         "path", "seq", "kind", "exchange_id", "instrument_id", "market_id", "seq_num",
         F.explode_outer(every).alias("row"),

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom import schema
 from tickloom.functions import symbols, timefmt
+from tickloom.plans.settle import settle
 from tickloom.sources import raw
 
 CHUNK_KEYS = ["batch_id", "source", "exchange", "instrument", "day"]
@@ -22,7 +23,7 @@ def high_watermark(catalog: DataFrame) -> DataFrame:
 def after_watermark(landed: DataFrame, watermark: DataFrame) -> DataFrame:
     """Landed rows at or after their market's watermark; markets without one are all new."""
     return (
-        landed.join(watermark, schema.MARKET, "left")
+        landed.join(settle(watermark, "watermark"), schema.MARKET, "left")
         .where(F.col("time_ns") >= F.coalesce("since_ns", F.col("time_ns")))
         .drop("since_ns")
     )
