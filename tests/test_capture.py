@@ -49,6 +49,19 @@ def test_truncated_tail(spark, folder, tail):
     ]
 
 
+def test_packed_captures(spark, folder):
+    zstandard = pytest.importorskip("zstandard")
+    many = [frame(b"%d" % i * (i % 40)) for i in range(3_000)]
+    packer = zstandard.ZstdCompressor()
+    write(folder, "a.dat.zst", packer.compress(b"".join(many[:2_000])) + packer.compress(b"".join(many[2_000:])))
+    write(folder, "b.dat", b"".join(many))
+    rows = frames.valid_frames(frames.read_captures(spark, folder))
+    packed = rows.where(F.col("path").endswith(".zst")).drop("path")
+    plain = rows.where(F.col("path").endswith(".dat")).drop("path")
+    assert packed.count() == 3_000
+    assert packed.exceptAll(plain).count() == 0
+
+
 def test_encoded_frames_are_read_back(spark):
     text = F.concat(F.lit("m"), F.col("id").cast("string"))
     captures = spark.range(50).select(

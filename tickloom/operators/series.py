@@ -141,7 +141,8 @@ def monotonic_check(series: DataFrame, keys=MARKET, width: int = 100_000) -> Dat
 def max_profit(series: DataFrame, **options) -> DataFrame:
     """Sum of all fractional gains per market, for rising and falling prices, and per year.
 
-    ``up`` gains when the next price is higher, ``down`` when it is lower.
+    ``up`` gains when the next price is higher, ``down`` when it is lower. A price of 0 has no
+    fraction and adds nothing.
     """
     rise, zero = F.col("p_next") - F.col("p"), F.lit(0.0)
     rows = blocks.neighbors(cut(series, **options), MARKET, TIME_ORDER, ahead={"p_next": "p"})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import bars, series, smooth, stats
 from tickloom.plans import blocks, views
+from tickloom.plans.settle import settle
 from tickloom.plans.registry import micros, query, rounded, sql_rounded
 from tickloom.plans.views import LONG_TRADES_SQL, TRADES_SQL
 from tickloom.schema import MARKET, TIME_ORDER
@@ -25,7 +26,9 @@ def _series(spark, sf):
 
 
 def _drops(spark, sf):
-    return series.drop_pct(_series(spark, sf), outlier=WIDE)
+    """Price changes, written once: the statistics read them several times."""
+    changes = series.drop_pct(_series(spark, sf), outlier=WIDE)
+    return settle(changes.select(*MARKET, "drop_pct"), "drops")
 
 
 def _numbered(spark, sf):
@@ -43,7 +46,7 @@ def _(spark, sf):
 
 @query(
     "pct_change",
-    f"""WITH {LEAD} SELECT exchange, instrument, seq, {sql_rounded("(p_next - p) / p * 100")} AS pct
+    f"""WITH {LEAD} SELECT exchange, instrument, seq, {sql_rounded("(p_next - p) / nullif(p, 0) * 100")} AS pct
     FROM l WHERE p_next IS NOT NULL""",
 )
 def _(spark, sf):
@@ -186,8 +189,8 @@ def _(spark, sf):
 
 @query(
     "max_profit",
-    f"""WITH {LEAD}, s AS (SELECT exchange, instrument, sum(greatest(p_next - p, 0) / p) AS up,
-      sum(greatest(p - p_next, 0) / p) AS down, (max(time_us) - min(time_us)) / 1e6 AS seconds
+    f"""WITH {LEAD}, s AS (SELECT exchange, instrument, sum(greatest(p_next - p, 0) / nullif(p, 0)) AS up,
+      sum(greatest(p - p_next, 0) / nullif(p, 0)) AS down, (max(time_us) - min(time_us)) / 1e6 AS seconds
       FROM l WHERE p_next IS NOT NULL GROUP BY 1, 2),
     t AS (SELECT exchange, instrument, (max(time_us) - min(time_us)) / 1e6 AS seconds FROM trades GROUP BY 1, 2)
     SELECT exchange, instrument, {sql_rounded("up", 4)} AS up, {sql_rounded("down", 4)} AS down,

@@ -1,4 +1,4 @@
-"""Small results that later steps join to large rows."""
+"""Results that are written before later steps read them."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame
 from tickloom import session
 
 
-def settle(small: DataFrame, label: str) -> DataFrame:
-    """Write a per-group summary to the shared folder and read it back.
+def settle(rows: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared folder and read them back.
 
-    The planner cannot tell how far an aggregate shrinks its input and would shuffle the
+    Meant for a per-group summary that joins to large rows, and for narrow rows behind a
+    shuffle that several passes read. The planner cannot tell how far an aggregate shrinks its input and would shuffle the
     large side of a join with it. A written table has a known size: below Spark's broadcast
     threshold it is broadcast and the large side stays where it is, above it Spark takes a
-    shuffled join. It also survives lost executors and is not computed twice.
+    shuffled join. The table also survives lost executors and is not computed twice. It
+    stays in the shared folder, which the cluster's owner clears.
     """
-    spark = small.sparkSession
+    spark = rows.sparkSession
     folder = session.new_folder(spark, label)
-    small.write.parquet(folder)
-    return spark.read.schema(small.schema).parquet(folder)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)

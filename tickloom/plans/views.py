@@ -5,6 +5,8 @@ Each function reads whole tables. The SQL texts are the same views for the check
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,18 +116,24 @@ long_trades AS (
          CAST(round(o_totalprice*100) AS BIGINT) / 100.0::DOUBLE AS p
   FROM orders)"""
 
-_lakes: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
 
 
-def lake_of(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Root of a lake holding the named trades, written once per session and table folder."""
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder of a derived table, written once per session and table folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _lakes:
-        rows = {"trades": trades, "long_trades": long_trades}[name](spark, sf_dir)
-        root = session.new_folder(spark, name)
-        lake.write(rows, root)
-        _lakes[key] = root
-    return _lakes[key]
+    if key not in _written:
+        folder = session.new_folder(spark, name)
+        write(folder)
+        _written[key] = folder
+    return _written[key]
+
+
+def lake_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Root of a lake that holds the named trades."""
+    session.prepare(spark)
+    build = {"trades": trades, "long_trades": long_trades}[name]
+    return _once(spark, sf_dir, name, lambda root: lake.write(build(spark, sf_dir), root))
 
 
 def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +217,16 @@ catalog AS (
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-book messages of ten markets from ``events``, numbered per market."""
+    """Order-book messages of ten markets from ``events``, stored as a capture would be."""
+    session.prepare(spark)
+    rows = _once(
+        spark, sf_dir, "messages", lambda f: _messages(spark, sf_dir).write.parquet(f)
+    )
+    return spark.read.parquet(rows)
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages, numbered per market."""
     e = F.col("event_id")
     kind = (
         F.when(F.col("event_type") == "purchase", "trade")

@@ -2,12 +2,16 @@
 
 A frame is a two-byte big-endian length, the payload, and a four-byte big-endian CRC32
 over length and payload. Lengths chain, so one task walks one file; it only hops over the
-headers and hands out slices. The checksum is compared by Spark's own ``crc32``.
+headers and hands out slices. The checksum is compared by Spark's own ``crc32``. A file must
+fit Spark's limit for one binary value (2 GB); capture to many files for parallel reading.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from itertools import count
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 
 HEAD, TAIL = 2, 4
 FRAMES_PER_BATCH = 10_000
+UNPACK_BYTES = 1 << 20
 SPLIT = "path string, seq bigint, raw binary, crc bigint"
 
 
@@ -23,17 +28,30 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _open(path: str, content: bytes) -> BinaryIO:
+    """The file's frames as a stream; ``.zst`` files are unpacked piece by piece."""
+    if not path.endswith(".zst"):
+        return io.BytesIO(content)
+    import zstandard
+
+    unpacked = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True)
+    return io.BufferedReader(unpacked, UNPACK_BYTES)
+
+
 def _walk(path: str, content: bytes) -> Iterator[tuple]:
     """Frames of one file; what is left when no whole frame remains has a null checksum."""
-    at, seq, size = 0, 0, len(content)
-    while at < size:
-        payload_end = at + HEAD + int.from_bytes(content[at : at + HEAD], "big")
-        if size - at < HEAD + TAIL or size < payload_end + TAIL:
-            yield path, seq, content[at:], None
+    file = _open(path, content)
+    for seq in count():
+        head = file.read(HEAD)
+        if not head:
+            return
+        raw = head + file.read(int.from_bytes(head, "big") if len(head) == HEAD else 0)
+        tail = file.read(TAIL)
+        whole = len(head) == HEAD and len(tail) == TAIL
+        if not whole:
+            yield path, seq, raw + tail, None
             return
-        crc = int.from_bytes(content[payload_end : payload_end + TAIL], "big")
-        yield path, seq, content[at:payload_end], crc
-        at, seq = payload_end + TAIL, seq + 1
+        yield path, seq, raw, int.from_bytes(tail, "big")
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
