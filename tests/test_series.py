@@ -66,7 +66,7 @@ def test_smooth_then_decimate(prices, data):
     got = points.where("exchange = 'alpha'").orderBy("j").toPandas()["y"]
     want = convolved(of(data, "alpha"), w, "flat")[w // 2 : -(w // 2) + 1][::step]
     assert np.allclose(got, want)
-    plain = series.decimate_numbered(numbered, 10).where("exchange = 'alpha'")
+    plain = series.decimate(numbered, 10).where("exchange = 'alpha'")
     assert plain.count() == len(of(data, "alpha")[::10])
 
 

@@ -166,6 +166,8 @@ def compaction_plan(catalog: DataFrame, now: Column, **options) -> DataFrame:
 def merge_rows(rows: DataFrame, catalog: DataFrame, **options) -> DataFrame:
     """The rows that survive compaction: each kept file, clipped to its new part.
 
+    A file must hold all rows of its range, as downloads do; late rows need a file of their own
+    range. Write-ahead and data files merge the same way, as one catalog and one row set.
     ``rows``: canonical rows with ``market`` and the ``file_id`` they were read from. The
     catalog is joined by file, so its size does not matter.
     """

@@ -86,13 +86,11 @@ def sample_last(series: DataFrame, unit: str, include_last: bool = False) -> Dat
     return sampled.select(*MARKET, "bucket", "row.*")
 
 
-def decimate(cut_series: DataFrame, step: int, trim: int = 0) -> DataFrame:
-    """Every ``step``-th row after cutting ``trim`` rows at the start and ``trim - 1`` at the end."""
-    numbered = blocks.number_rows(cut_series, MARKET, TIME_ORDER)
-    return decimate_numbered(numbered, step, trim)
-
+def decimate(numbered: DataFrame, step: int, trim: int = 0) -> DataFrame:
+    """Every ``step``-th row after cutting ``trim`` rows at the start and ``trim - 1`` at the end.
 
-def decimate_numbered(numbered: DataFrame, step: int, trim: int = 0) -> DataFrame:
+    ``numbered`` has ``rn`` and ``n_rows`` (:func:`blocks.number_rows`).
+    """
     inside = (F.col("rn") >= trim) & (F.col("rn") < F.col("n_rows") - max(trim - 1, 0))
     return numbered.where(inside & (F.pmod(F.col("rn") - trim, F.lit(step)) == 0))
 

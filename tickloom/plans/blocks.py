@@ -25,7 +25,8 @@ HOUR_NS = 3_600 * 10**9
 HOT_ROWS = 4_000_000
 # Up to this many hot blocks travel as a broadcast table (a few MB); beyond it they are joined.
 MAX_BROADCAST_HOT = 20_000
-# Each cut narrows a range by its number of pieces, so few cuts reach a single value.
+# A cut makes at least this many pieces, so few cuts reach a single value.
+MIN_PIECES = 4_096
 MAX_CUTS = 8
 
 
@@ -89,7 +90,7 @@ def _hot_blocks(
 def _cut_again(
     nested: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int
 ) -> DataFrame:
-    pieces = F.greatest(F.ceil(F.col("_rows") * F.lit(4.0) / hot_rows), F.lit(2))
+    pieces = F.greatest(F.ceil(F.col("_rows") * F.lit(4.0) / hot_rows), F.lit(MIN_PIECES))
     place = F.coalesce(
         *[
             F.when(

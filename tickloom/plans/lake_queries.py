@@ -224,9 +224,7 @@ def _(spark, sf):
 # -- normalizing -----------------------------------------------------------------------
 
 
-@query(
-    "normalize_trades",
-    """WITH e AS (SELECT *, epoch_us(ts) / 1e6 AS t, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k,
+NORMALIZE_SQL = """WITH e AS (SELECT *, epoch_us(ts) / 1e6 AS t, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k,
       CASE WHEN event_type = 'view' THEN 5 ELSE 1 END AS price_scale,
       CASE WHEN event_id % 3 = 2 THEN 'x' END AS bad_side,
       CASE WHEN event_id % 5 = 0 THEN 'x' END AS bad_order,
@@ -248,10 +246,11 @@ def _(spark, sf):
           CASE WHEN bad_side IS NOT NULL THEN '"side":"x"' END,
           CASE WHEN bad_order IS NOT NULL THEN '"order":"x"' END,
           CASE WHEN misc IS NOT NULL THEN '"misc":"note"' END) || '}}' END AS extra_json
-    FROM g""",
-)
-def _(spark, sf):
-    return raw.normalize(views.raw_trades(spark, sf)).select(
+    FROM g"""
+
+
+def normalized_columns():
+    return [
         "seq",
         "time_ns",
         F.col("price.int").alias("price_int"),
@@ -261,7 +260,12 @@ def _(spark, sf):
         "side",
         F.col("order").alias("ord"),
         "extra_json",
-    )
+    ]
+
+
+@query("normalize_trades", NORMALIZE_SQL)
+def _(spark, sf):
+    return raw.normalize(views.raw_trades(spark, sf)).select(*normalized_columns())
 
 
 @query(
@@ -461,7 +465,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = F.col("event_id")
     text = F.concat(
-        views._pick(F.col("user_id") % 3, "Alpha", "beta", "gamma-x"),
+        views.pick(F.col("user_id") % 3, "Alpha", "beta", "gamma-x"),
         F.when(e % 7 == 0, "").otherwise(":"),
         F.upper("event_type"),
         F.when(e % 11 == 0, "").otherwise("/eur"),

@@ -84,7 +84,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     numbered = _numbered(spark, sf)
-    return series.decimate_numbered(numbered, 25, trim=10).select(*MARKET, "seq", "rn")
+    return series.decimate(numbered, 25, trim=10).select(*MARKET, "seq", "rn")
 
 
 def _smooth_sql(width: int, weight: str) -> str:

@@ -31,7 +31,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pick(number: Column, *names: str | None) -> Column:
+def pick(number: Column, *names: str | None) -> Column:
     chosen = F.lit(names[-1])
     for i, name in reversed(list(enumerate(names[:-1]))):
         chosen = F.when(number == i, F.lit(name)).otherwise(chosen)
@@ -47,7 +47,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.alias("seq"),
         numbers.scaled(F.round(F.col("value") * 100), F.lit(2)).alias("price"),
         numbers.scaled(F.col("k"), F.lit(0)).alias("amount"),
-        _pick(e % 3, "buy", "sell", None).alias("side"),
+        pick(e % 3, "buy", "sell", None).alias("side"),
         F.when(e % 5 == 0, F.lit(None)).when(e % 2 == 0, "market").otherwise("limit").alias("order"),
         F.lit(None).cast("string").alias("extra_json"),
         F.struct(
@@ -56,7 +56,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("binary").alias("uuid"),
         ).alias("external_id"),
         F.year("ts").alias("year"),
-        _pick(F.col("user_id") % 3, "alpha", "beta", "gamma").alias("exchange"),
+        pick(F.col("user_id") % 3, "alpha", "beta", "gamma").alias("exchange"),
         F.concat("event_type", F.lit("/eur")).alias("instrument"),
         F.when(F.col("user_id") % 4 == 0, "src_ws").otherwise("src_rest").alias("source"),
     )
@@ -136,19 +136,33 @@ def lake_of(spark: SparkSession, sf_dir: str, name: str) -> str:
     return _once(spark, sf_dir, name, lambda root: lake.write(build(spark, sf_dir), root))
 
 
+def stored(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    build: Callable[[SparkSession, str], DataFrame],
+    form: str = "parquet",
+) -> str:
+    """Folder of a derived table's files."""
+    session.prepare(spark)
+    return _once(
+        spark, sf_dir, name, lambda folder: build(spark, sf_dir).write.format(form).save(folder)
+    )
+
+
 def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trades as landed, from ``events``."""
     e = F.col("event_id")
     return _events(spark, sf_dir).select(
-        _pick(F.col("user_id") % 3, "alpha", "beta", "gamma").alias("exchange"),
+        pick(F.col("user_id") % 3, "alpha", "beta", "gamma").alias("exchange"),
         F.concat("event_type", F.lit("/eur")).alias("instrument"),
         F.lit("src_rest").alias("source"),
         e.alias("seq"),
         F.col("value").cast("decimal(18,2)").cast("string").alias("price"),
         F.col("k").cast("string").alias("amount"),
         (F.col("time_us") / F.lit(1e6)).alias("time"),
-        _pick(e % 3, "b", "s", "x").alias("side"),
-        _pick(e % 5, "x", "m", "l", "m", "l").alias("order"),
+        pick(e % 3, "b", "s", "x").alias("side"),
+        pick(e % 5, "x", "m", "l", "m", "l").alias("order"),
         F.when(e % 4 == 0, "note").otherwise("").alias("misc"),
         F.when(F.col("event_type") == "view", 5).otherwise(1).alias("price_scale"),
         F.lit(8).alias("amount_scale"),
@@ -165,10 +179,10 @@ def stored_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(2).alias("price_scale"),
         F.col("k").cast("decimal(20,0)").alias("amount"),
         F.lit(0).alias("amount_scale"),
-        _pick(e % 3, "buy", "sell", None).alias("side"),
+        pick(e % 3, "buy", "sell", None).alias("side"),
         F.lit(None).cast("string").alias("order"),
         F.when(e % 4 == 0, F.col("props")).otherwise("").alias("extra_json"),
-        _pick(F.col("user_id") % 3, "alpha", "beta", "gamma").alias("exchange"),
+        pick(F.col("user_id") % 3, "alpha", "beta", "gamma").alias("exchange"),
         F.concat("event_type", F.lit("_eur")).alias("instrument"),
         F.lit("src-rest").alias("source"),
     )
@@ -182,8 +196,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(
             n % 6 != 5,
             F.concat_ws(
-                "/", _pick(n % 4, "XBT", "XDG", "ETH", "ADA"),
-                _pick(r, "EUR", "USD", "GBP", "XBT", "JPY"),
+                "/", pick(n % 4, "XBT", "XDG", "ETH", "ADA"),
+                pick(r, "EUR", "USD", "GBP", "XBT", "JPY"),
             ),
         ).alias("wsname"),
     )
@@ -216,13 +230,13 @@ catalog AS (
   FROM orders)"""
 
 
+def message_folder(spark: SparkSession, sf_dir: str) -> str:
+    return stored(spark, sf_dir, "messages", _messages)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-book messages of ten markets from ``events``, stored as a capture would be."""
-    session.prepare(spark)
-    rows = _once(
-        spark, sf_dir, "messages", lambda f: _messages(spark, sf_dir).write.parquet(f)
-    )
-    return spark.read.parquet(rows)
+    return spark.read.parquet(message_folder(spark, sf_dir))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:

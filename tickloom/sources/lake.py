@@ -41,7 +41,10 @@ def write(
     trades: DataFrame, root: str, subject: str = "trades", mode: str = "overwrite",
     files: int | None = None,
 ) -> None:
-    """Write the partitions that occur in ``trades``, ZSTD, time-sorted inside each file.
+    """Write trades as ZSTD files, time-sorted inside each file.
+
+    ``overwrite`` replaces the partitions that occur in ``trades`` and leaves the others;
+    ``append`` adds files.
 
     Rows are range-partitioned by partition and time: a market with most of the rows is cut
     to many files, small markets share a task, and each file covers a narrow time range.

@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom import schema
-from tickloom.functions import symbols, timefmt
+from tickloom.functions import timefmt
 from tickloom.plans.settle import settle
 from tickloom.sources import raw
 
-CHUNK_KEYS = ["batch_id", "source", "exchange", "instrument", "day"]
+CHUNK_KEYS = ["source", *schema.MARKET]
 
 
 def high_watermark(catalog: DataFrame) -> DataFrame:
@@ -46,22 +46,22 @@ def landed_stream(
 
 
 def append_batch(trades: DataFrame, batch_id: int, root: str) -> None:
-    """Write one batch to the write-ahead area, one folder per market and UTC day.
+    """Write one batch to the write-ahead area, one folder per UTC day.
 
-    The batch's folders are overwritten, so a batch that failed midway is written anew as a
-    whole. Range partitioning cuts a busy market to several files.
+    Inside a folder each market's rows lie together in time order, cut to files by range: few
+    files however many markets there are, and several for a busy one. The batch's folders are
+    overwritten, so a batch that failed midway is written anew as a whole.
     """
-    keys = [*CHUNK_KEYS[1:], *schema.TIME_ORDER]
+    keys = ["day", *CHUNK_KEYS, *schema.TIME_ORDER]
     (
-        trades.withColumn("batch_id", F.lit(int(batch_id)))
-        .withColumn("instrument", symbols.to_path(F.col("instrument")))
+        trades.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
         .withColumn("day", timefmt.day_of(F.col("time_ns")))
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy(*CHUNK_KEYS)
+        .partitionBy("batch_id", "day")
         .parquet(f"{root}/wal")
     )
 
@@ -74,8 +74,7 @@ def read_write_ahead(spark: SparkSession, root: str) -> DataFrame:
             T.StructField("day", T.DateType()),
         ]
     )
-    rows = spark.read.schema(fields).parquet(f"{root}/wal")
-    return rows.withColumn("instrument", symbols.from_path(F.col("instrument")))
+    return spark.read.schema(fields).parquet(f"{root}/wal")
 
 
 def ingest(
