@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import compaction
 from tickloom.plans import views
 from tickloom.schema import TRADE_COLUMNS
+from tickloom.sources import catalog as catalog_source
 from tickloom.sources import lake
 
 DAY0 = datetime(2020, 1, 1)
@@ -37,13 +38,20 @@ def swept(rows):
     return result
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("hot_rows", [10**9, 8])
-def test_shadowing_equals_sweep(spark, seed, hot_rows):
+@pytest.mark.parametrize("name", ["file_id", "string(file_id + 1000) AS file_id"])
+def test_shadowing_equals_sweep(spark, seed, hot_rows, name):
     rows = files(seed)
+    # Some files cover the same range and differ in their id alone.
+    rows += [(m, i + 500, s, e) for m, i, s, e in rows[:40]]
     table = spark.createDataFrame(rows, "market string, file_id bigint, s timestamp, e timestamp")
+    table = table.selectExpr("market", name, "s", "e")
+    plus = 1000 if "string" in name else 0
     got = {
-        r["file_id"]: (r["keep"], r["clip_start"], r["shadow"] and r["shadow"]["file_id"])
+        int(r["file_id"]) - plus: (
+            r["keep"], r["clip_start"], r["shadow"] and int(r["shadow"]["file_id"]) - plus
+        )
         for r in compaction.shadowed_files(table, hot_rows=hot_rows).collect()
     }
     assert got == swept(rows)
@@ -92,6 +100,32 @@ def test_version_check_sees_loss(spark):
     assert compaction.version_check(inside, lost).where("NOT equal").count() == 1
 
 
+def test_hive_catalog_feeds_the_plan(spark):
+    root = "file:/lake/trades/year={}/exchange=alpha/instrument=btc_eur/source=src_rest/{}"
+    tail = ".alpha.btc_eur.src_rest.trades.parquet"
+    names = [
+        (2020, "2020-03-01"), (2020, "2020-03"), (2020, "2019-12-31"),
+        (2020, "2020-03-30T120000.000000000Z.2020-04-02T063000.500000000Z"), (2020, "junk"),
+    ]
+    paths = spark.createDataFrame(
+        [(root.format(y, n) + tail, 10, datetime(2020, 5, 1)) for y, n in names],
+        "path string, length bigint, modificationTime timestamp",
+    )
+    listed = catalog_source.hive_catalog(paths)
+    got = sorted((str(r["s"]), str(r["e"]), r["tier"]) for r in listed.collect())
+    assert got == [
+        ("2020-03-01 00:00:00", "2020-03-02 00:00:00", "day"),
+        ("2020-03-01 00:00:00", "2020-04-01 00:00:00", "month"),
+        ("2020-03-30 12:00:00", "2020-04-02 06:30:00.500000", "file"),
+    ]
+    now = F.lit("2020-06-10").cast("timestamp")
+    plan = compaction.compaction_plan(listed, now).collect()
+    # The whole March is done; the long file joins the bucket of its start.
+    assert [(r["bucket"], r["files"], r["action"]) for r in plan] == [("2020-03", 1, "rename")]
+    gone = compaction.removable_files(listed, now).collect()
+    assert [(r["file_id"].split("/")[-1][:10], r["reason"]) for r in gone] == [("2020-03-01", "remove")]
+
+
 def test_tiers(spark):
     rows = spark.createDataFrame(
         [

@@ -139,3 +139,54 @@ def parse_positional_paths(rows: DataFrame, column: str = "path") -> DataFrame:
         & (folder(2) == F.substring("time", 1, 4))
     )
     return checked_parts(parts.where(agree).drop("_folders", "_name", "_stem", "_skip"))
+
+
+def parse_hive_paths(rows: DataFrame, column: str = "path") -> DataFrame:
+    """Add the parts of hive-layout paths: ``subject, source, exchange, instrument``, the range
+    ``s, e`` and ``tier``. A short name is a year, month or day; others have the tier ``file``.
+
+    Paths whose folders disagree with their name, or with an unreadable range, are left out.
+    """
+    named = pin(rows, _folders=F.split(F.col(column), "/"))
+    named = pin(named, _name=F.split(F.try_element_at("_folders", F.lit(-1)), r"\."))
+    named = named.where(F.size("_name").isin(6, 9))
+    first = F.get("_name", 0)
+    long = F.size("_name") == 9
+    # Full names are start.fraction.end.fraction with the colons left out.
+    clock = r"T(\d{2})(\d{2})(\d{2})"
+    both = F.concat_ws(
+        ".", first, F.concat_ws("/", F.get("_name", 1), F.get("_name", 2)), F.get("_name", 3)
+    )
+    size = F.length(first)
+    tier = F.when(size == 4, "year").when(size == 7, "month").when(size == 10, "day")
+    at = F.when(long, 4).otherwise(1)
+    named = pin(
+        named,
+        _period=F.when(long, F.regexp_replace(both, clock, "T$1:$2:$3")).otherwise(first),
+        _at=at,
+        tier=F.when(long, "file").otherwise(tier),
+    )
+
+    def part(i: int) -> Column:
+        return F.get("_name", F.col("_at") + i)
+
+    parts = pin(
+        named,
+        subject=part(3),
+        source=part(2),
+        exchange=part(0),
+        instrument=symbols.from_path(part(1)),
+    )
+    agree = F.array_join(F.slice("_folders", F.size("_folders") - 4, 4), "/") == F.concat_ws(
+        "/",
+        F.concat(F.lit("year="), F.substring("_period", 1, 4)),
+        F.concat(F.lit("exchange="), F.col("exchange")),
+        F.concat(F.lit("instrument="), symbols.to_path(F.col("instrument"))),
+        F.concat(F.lit("source="), F.col("source")),
+    )
+    return (
+        timefmt.periods(parts.where(agree & F.col("tier").isNotNull()), "_period")
+        .where(F.col("start").isNotNull())
+        .withColumnsRenamed({"start": "s", "end": "e"})
+        .drop("_folders", "_name", "_period", "_at")
+    )

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BLOCK = "_block"
 
@@ -49,6 +51,9 @@ def cut_blocks(
     cut = df.withColumn(BLOCK, F.expr(f"`{order[0]}` div {int(width)}L"))
     if unique:
         return cut
+    # Only numbers can be cut evenly; columns behind the first other one are left out.
+    numeric = takewhile(lambda c: isinstance(df.schema[c].dataType, NumericType), order)
+    order = list(numeric)
     nested = cut.withColumn(BLOCK, F.array(BLOCK))
     for depth in range(1, MAX_CUTS):
         if depth == 1:

@@ -645,6 +645,58 @@ def _(spark, sf):
     return catalog.merge_catalogs(listed.where(~fresh), listed.where(fresh)).drop("time_kind")
 
 
+_HIVE = "CASE form WHEN 0 THEN date_trunc('year', d) WHEN 1 THEN date_trunc('month', d) ELSE d END::TIMESTAMP"
+_HIVE_END = """CASE form WHEN 0 THEN date_trunc('year', d) + INTERVAL 1 YEAR
+    WHEN 1 THEN date_trunc('month', d) + INTERVAL 1 MONTH WHEN 2 THEN d + INTERVAL 1 DAY
+    ELSE d + CAST(2 + k % 26 AS INTEGER) END::TIMESTAMP"""
+
+
+@query(
+    "hive_catalog",
+    f"""WITH {LONG_TRADES_SQL}, t AS (SELECT seq AS k, seq % 4 AS form, exchange, instrument,
+      CAST(make_timestamp(time_us) AS DATE) AS d FROM long_trades),
+    r AS (SELECT *, {_HIVE} AS s, {_HIVE_END} AS e FROM t)
+    SELECT k, exchange || ':' || instrument AS market, 'src_rest' AS source, epoch_us(s) AS s_us, epoch_us(e) AS e_us,
+      CASE form WHEN 0 THEN 'year' WHEN 1 THEN 'month' WHEN 2 THEN 'day' ELSE 'file' END AS tier
+    FROM r WHERE k % 13 <> 0""",
+)
+def _(spark, sf):
+    k, form = F.col("seq"), F.col("seq") % 4
+    day = F.date_trunc("day", "time")
+    start = (
+        F.when(form == 0, F.date_trunc("year", day))
+        .when(form == 1, F.date_trunc("month", day))
+        .otherwise(day)
+    )
+    end = (
+        F.when(form == 0, F.col("start") + F.expr("interval 1 year"))
+        .when(form == 1, F.col("start") + F.expr("interval 1 month"))
+        .when(form == 2, F.col("start") + F.expr("interval 1 day"))
+        .otherwise(F.date_add("start", (2 + k % 26).cast("int")).cast("timestamp"))
+    )
+    rows = pin(views.long_trades(spark, sf), start=start).select(
+        k, "exchange", "instrument", F.unix_micros("start").alias("a"), F.unix_micros(end).alias("b")
+    )
+    path = files.hive_path(
+        F.lit("trades"), F.lit("src_rest"), F.col("exchange"), F.col("instrument"),
+        F.col("a") * 1000, F.col("b") * 1000, short=True,
+    )
+    right = pin(rows, right=path)
+    # Every 13th path lies in a wrong exchange's folder.
+    wrong = F.regexp_replace("right", "exchange=[a-z]+", "exchange=other")
+    moved = F.concat(F.lit("/lake/"), F.when(k % 13 == 0, wrong).otherwise(F.col("right")))
+    paths = pin(right, path=moved).select(k, "path")
+
+    return files.parse_hive_paths(paths).select(
+        k.alias("k"),
+        symbols.join_market(F.col("exchange"), F.col("instrument")).alias("market"),
+        "source",
+        micros("s").alias("s_us"),
+        micros("e").alias("e_us"),
+        "tier",
+    )
+
+
 # -- captures --------------------------------------------------------------------------
 
 

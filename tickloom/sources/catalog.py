@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions import files
+from tickloom.functions import files, symbols
 
 PARTS = ["subject", "source", "exchange", "instrument", "time", "time_kind"]
 
@@ -30,6 +30,19 @@ def parse_catalog(paths: DataFrame, subject: str | None = None) -> DataFrame:
     return parsed.select(name.alias("file_id"), *PARTS, *paths.columns)
 
 
+def hive_catalog(paths: DataFrame) -> DataFrame:
+    """Catalog of a hive lake, as compaction reads it; the file id is the path."""
+    return files.parse_hive_paths(paths).select(
+        symbols.join_market(F.col("exchange"), F.col("instrument")).alias("market"),
+        F.col("path").alias("file_id"),
+        "source",
+        "s",
+        "e",
+        "tier",
+        *[F.col("modificationTime").alias("modified") for c in paths.columns if c == "modificationTime"],
+    )
+
+
 def find(spark: SparkSession, root: str, subject: str | None = None) -> DataFrame:
     """All files of a positional lake, ordered by file id."""
     return parse_catalog(list_files(spark, root, subject), subject).orderBy("file_id")
