@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact, mixing, rules, sharding
+from tickloom.llm import exact, mixing, rules, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,3 +160,59 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which shard each document goes to; no text is read for that."""
     placed = sharding.place(documents(spark, sf_dir).select("doc_id"), SHARDS)
     return placed.select("row.doc_id", "slot", "shard")
+
+
+def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """Matches with their places: pieces between matches and matches add up to the text."""
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {place} AS place, start, start + size AS stop FROM (
+    SELECT doc_id, i, size, measured,
+      sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) - size AS start
+    FROM (
+      SELECT doc_id, generate_subscripts(m, 1) AS i, unnest(list_transform(m, lambda x: length(x))) AS size,
+        unnest(list_transform(g, lambda x: length(x))) AS measured,
+        unnest(list_transform(p[1:len(m)], lambda x: length(x))) AS gap
+      FROM (SELECT doc_id, regexp_extract_all(text, $p${pattern}$p$, 0) AS m,
+              regexp_extract_all(text, $p${pattern}$p$, {group}) AS g,
+              string_split_regex(text, $p${pattern}$p$) AS p
+            FROM t)))
+  WHERE measured >= {least}"""
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+_PLAIN = {
+    "assign": (rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]+", 0, 16),
+}
+_SPAN_PARTS = [
+    _spans_sql(rule.kind, place, *_PLAIN.get(rule.kind, (rule.pattern, rule.group, rule.least)))
+    for place, rule in enumerate(secrets.RULES)
+]
+
+
+@query(
+    "op10_secret_scan",
+    f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_SPAN_PARTS)}),
+b AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+    count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)
+      FILTER (place < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+  FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN b USING (doc_id)
+""",
+)
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    found = found.select("row.doc_id", secrets.summary(F.col("spans")).alias("s"))
+    return found.select("doc_id", "s.*")
