@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact, minhash, mixing, rules, secrets, sharding, toxicity
+from tickloom.llm import (
+    exact,
+    minhash,
+    mixing,
+    pieces,
+    quality_lm,
+    rules,
+    secrets,
+    sharding,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: A public vocabulary; only the driver reads the file.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -258,3 +271,25 @@ FROM documents d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROU
 )
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir), size=3, percent=85)
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the digest of the text that they decode to.
+
+    No SQL: it has no such search. Tests hold the ids against a search over the whole text and the
+    digest against the text's own.
+    """
+    vocabulary = pieces.read_vocabulary(VOCABULARY)
+    encoded = pieces.encode(documents(spark, sf_dir), vocabulary)
+    return pieces.decode(encoded, vocabulary).select(
+        "doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents that ``labels`` calls good. No SQL: tests hold the scores against
+    a plain model on small texts, and the verdicts against held-out labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_lm.classify(documents(spark, sf_dir), labels.where("quality = 1"))
