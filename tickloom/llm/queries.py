@@ -13,6 +13,7 @@ from tickloom.llm import (
     mixing,
     pieces,
     quality_lm,
+    repeats,
     rules,
     secrets,
     sharding,
@@ -293,3 +294,45 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     a plain model on small texts, and the verdicts against held-out labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_lm.classify(documents(spark, sf_dir), labels.where("quality = 1"))
+
+
+@query(
+    "op7_repeated_passages",
+    """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM t WHERE len(h) >= 100)),
+f AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM w) WHERE m < doc_id),
+i AS (
+  SELECT doc_id, i,
+    CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh
+  FROM f),
+s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM i)
+  GROUP BY doc_id, g),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+k AS (
+  SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS z,
+    sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+""",
+)
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(documents(spark, sf_dir))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]
+    )
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
