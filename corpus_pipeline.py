@@ -1,13 +1,74 @@
-"""From raw documents to token-ready text in five stages, each written before the next begins."""
+"""From raw documents to token ids in five stages, each written before the next one begins.
+
+Every stage function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of documents. A stage sees only what its predecessor kept.
+
+There is no SQL for the whole: the last stage's search has none. The tests hold ``run`` against
+a plain Python version of the five stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import exact, minhash, mixing, pieces, rules
+from tickloom.llm.columns import settle
+from tickloom.llm.queries import VOCABULARY, documents
 
-STAGES = []
 ORACLE_SQL = None
 
 
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose ids are listed; a null id counts as a value."""
+    chosen = ids.select(F.col("doc_id").alias("_chosen")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_chosen")), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a rule go."""
+    judged = rules.apply_rules(docs)
+    return judged.where(F.col("verdict")["kept"]).select("row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id stays."""
+    groups = exact.exact_groups(docs)
+    return _keep(docs, groups.where("kept").select("doc_id"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by 80 % of their shingles of five words, the one with the smallest id stays."""
+    groups = minhash.near_groups(docs, size=5, percent=80)
+    return _keep(docs, groups.where("kept").select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source asks for, three times at most."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"))
+    copies = copies.agg(F.max("copies").alias("copies"))  # one row, should an id be repeated
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return rows.select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with the ids of each text."""
+    return pieces.add_ids(docs, pieces.read_vocabulary(VOCABULARY))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("sentencepiece", sentencepiece),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    """All stages over the documents; what each but the last keeps is written to the shared folder."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

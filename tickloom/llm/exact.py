@@ -55,7 +55,7 @@ def exact_groups(
             "keep_id",
             "group_size",
             F.sha2("text", 256).alias("text_sha256"),
-            F.explode("winners.winner").alias("winner"),
+            F.explode(F.array_distinct("winners.winner")).alias("winner"),
         )
     )
     back = groups.alias("g").join(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -217,21 +217,29 @@ def decode_ids(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     return data.decode("utf-8", errors="replace")
 
 
-def encode(
-    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text"
+def add_ids(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    text_col: str = "text",
+    name: str = "ids",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows (doc_id, ids) for each input row: the ids of its whole text.
+    """The input's rows with the columns ``keep`` (all, if not given) and the ids of each whole text.
 
     One map-side pass; nothing is shuffled, so copies and hot sources cost nothing beyond their
     rows. The vocabulary's size is that of its file. A null text gives null, an empty one an empty
-    list. Only the two named columns are read.
+    list. A column of the same name is refused.
     """
+    if name in docs.columns:
+        raise ValueError(f"the input has a column {name} already")
+    at = docs.columns.index(text_col)
+    kept = [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
             offsets, parts, total, missing = [0], [], 0, []
-            for text in batch.column(1):
+            for text in batch.column(at):
                 missing.append(not text.is_valid)
                 ids = np.array(encoder.encode(text.as_py() or ""), np.int32)
                 parts.append(ids)
@@ -241,11 +249,22 @@ def encode(
             lists = pa.ListArray.from_arrays(
                 pa.array(offsets, pa.int32()), values, mask=pa.array(missing, pa.bool_())
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+            columns = [batch.column(k) for k in kept]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, lists], [*(batch.schema.names[k] for k in kept), name]
+            )
+
+    fields = [docs.schema.fields[k] for k in kept]
+    kind = T.StructType([*fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(run, kind)
 
+
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Rows (doc_id, ids) for each input row; only the two named columns are read. See ``add_ids``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, kind)
+    return add_ids(rows, vocabulary, keep=["doc_id"])
 
 
 def decode(

@@ -85,7 +85,7 @@ def train(
     texts: list[bytes],
     labels: list[int],
     dim: int = 8,
-    epochs: int = 16,
+    epochs: int | None = None,
     rate: float = 100.0,
     batch: int = 64,
     seed: int = 1,
@@ -96,7 +96,7 @@ def train(
     of the average over a word's n-grams; words that the last window lacks count as zero. A text
     is as toxic as its most toxic window, so each epoch learns from the windows that are highest
     under the model so far (in the first, from random ones), or one abusive word would vanish
-    among thousands. Without labels of both kinds the model answers with their share.
+    among thousands. Few texts are gone through more often. Without labels of both kinds the model answers with their share.
     """
     split = [words_of(text) for text in texts]
     filled = [i for i, words in enumerate(split) if words]
@@ -104,6 +104,7 @@ def train(
     share = (sum(labels) + 1) / (len(labels) + 2)
     if not filled or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+    epochs = epochs or min(max(16, 60_000 // len(filled)), 60)
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
     tokens = [np.array([known.setdefault(w, len(known)) for w in split[i]]) for i in filled]
