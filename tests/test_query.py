@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def test_setters_replace_and_reset():
     assert builder.reset("time").build().end is None
     builder.trades().sources("src_rest").columns("time").start("2020").reset("columns", "sources")
     assert builder.build().columns == () and builder.build().sources == ()
-    assert str(builder.reset()) == "<Query>: matches all"
+    assert str(builder.reset()) == "Query(any subject; everything)"
 
 
 def test_build_is_frozen():
@@ -71,8 +73,9 @@ def test_bad_arguments(bad):
 
 def test_describe():
     text = str(QueryBuilder().trades().markets("alpha:*").period("2020Q1"))
-    assert text == "<Query>:\n  subject: trades\n  markets: alpha:*\n  interval: 2020Z/2020-04Z"
-    assert "start: 2020-01-01" in str(QueryBuilder().start("2020"))
+    assert text == "Query(trades; markets in [alpha:*]; time in 2020Z/2020-04Z)"
+    assert "time from 2020Z" in str(QueryBuilder().start("2020"))
+    assert "time before 2020-03Z" in str(QueryBuilder().end("2020-03"))
 
 
 def test_filters_reach_the_scan(spark, root):
@@ -84,6 +87,8 @@ def test_filters_reach_the_scan(spark, root):
     scan = plan[plan.index("FileScan") :]
     partition = scan[scan.index("PartitionFilters") : scan.index("PushedFilters")]
     assert "exchange" in partition and "instrument" in partition and "year" in partition
+    filters = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"year#\d+ >= 1997", filters) and re.search(r"year#\d+ <= 1997", filters)
     pushed = scan[scan.index("PushedFilters") : scan.index("ReadSchema")]
     assert "GreaterThanOrEqual(time_ns" in pushed and "LessThan(time_ns" in pushed
     schema = scan[scan.index("ReadSchema") :].splitlines()[0]

@@ -55,8 +55,27 @@ def test_smooth_edges(prices):
     assert smooth.smooth(numbered, "p", 2).count() == numbered.count()
     with pytest.raises(ValueError):
         smooth.smooth(numbered, "p", 5, "gauss")
-    with pytest.raises(Exception, match="bigger than window"):
-        smooth.smooth(numbered, "p", 41, "flat").count()
+    sizes = {r.exchange: r.n_rows for r in numbered.select("exchange", "n_rows").distinct().collect()}
+    width = max(sizes.values())
+    thin = {r.exchange for r in smooth.left_out(numbered, width).collect()}
+    assert thin == {e for e, n in sizes.items() if n < width}
+    points = smooth.smooth(numbered, "p", width, "flat")
+    assert {r.exchange for r in points.select("exchange").distinct().collect()} == set(sizes) - thin
+
+
+@pytest.mark.parametrize("name", ["flat", "hanning"])
+def test_smooth_huge_and_undefined_values(spark, name):
+    x = [1e17, *([float(i % 7) for i in range(59)]), float("inf"), *([2.0] * 20), None, *([3.0] * 20)]
+    rows = [("a", "b/c", i, len(x), v) for i, v in enumerate(x)]
+    numbered = spark.createDataFrame(
+        rows, "exchange string, instrument string, rn bigint, n_rows bigint, p double"
+    )
+    got = smooth.smooth(numbered, "p", 5, name, size=40).orderBy("j").toPandas()["y"]
+    plain = np.array([np.nan if v is None else v for v in x])
+    mirrored = np.r_[plain[4:0:-1], plain, plain[-1:-5:-1]]
+    weights = smooth.kernel(name, 5)
+    want = [(mirrored[i : i + 5] * weights).sum() for i in range(len(mirrored) - 4)]
+    assert np.allclose(got, want, equal_nan=True)
 
 
 def test_smooth_then_decimate(prices, data):

@@ -60,7 +60,8 @@ class Query:
         if self.start is not None:
             found += [F.col("year") >= self.start.year, F.col("time_ns") >= self.start.value]
         if self.end is not None:
-            found += [F.col("year") <= self.end.year, F.col("time_ns") < self.end.value]
+            last = self.end - pd.Timedelta(1, "ns")
+            found += [F.col("year") <= last.year, F.col("time_ns") < self.end.value]
         return found
 
     def run(self, spark: SparkSession, root: str) -> DataFrame:
@@ -73,20 +74,15 @@ class Query:
         return rows.select(*[plain if c == "instrument" else c for c in chosen])
 
     def describe(self) -> str:
-        lines = [f"  subject: {self.subject}"] if self.subject else []
-        for key in LIST_KEYS:
-            values = getattr(self, key)
-            if values:
-                lines.append(f"  {key}: {', '.join(values)}")
+        """One line: the subject and every restriction that is set."""
+        parts = [f"{key} in [{', '.join(getattr(self, key))}]" for key in LIST_KEYS if getattr(self, key)]
         if self.start is not None and self.end is not None:
-            lines.append(f"  interval: {timefmt.Span(self.start, self.end)}")
-        else:
-            lines += [
-                f"  {key}: {getattr(self, key)}"
-                for key in TIME_KEYS
-                if getattr(self, key) is not None
-            ]
-        return "\n".join(["<Query>:", *lines]) if lines else "<Query>: matches all"
+            parts.append(f"time in {timefmt.Span(self.start, self.end)}")
+        elif self.start is not None:
+            parts.append(f"time from {timefmt.short_text(self.start)}")
+        elif self.end is not None:
+            parts.append(f"time before {timefmt.short_text(self.end)}")
+        return f"Query({self.subject or 'any subject'}; {'; '.join(parts) or 'everything'})"
 
     __str__ = __repr__ = describe
 
@@ -96,10 +92,7 @@ class QueryBuilder:
     """Collects a query; every setter replaces what it set before and returns the builder.
 
     >>> print(QueryBuilder().trades().columns("price", "time").markets("alpha:btc/eur"))
-    <Query>:
-      subject: trades
-      columns: time, price
-      markets: alpha:btc/eur
+    Query(trades; columns in [time, price]; markets in [alpha:btc/eur])
     """
 
     _state: dict = field(default_factory=dict)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,11 @@ from tickloom.schema import MARKET
 SLAB = 50_000
 
 
+def left_out(numbered: DataFrame, width: int) -> DataFrame:
+    """Markets with fewer rows than ``width``, which :func:`smooth` cannot mirror: with ``n_rows``."""
+    return numbered.where((F.col("rn") == 0) & (F.col("n_rows") < width)).select(*MARKET, "n_rows")
+
+
 def smooth(
     numbered: DataFrame, value: str, width: int, window: str = "hanning", size: int = SLAB
 ) -> DataFrame:
@@ -21,64 +24,41 @@ def smooth(
 
     ``numbered`` has ``rn`` and ``n_rows`` (:func:`blocks.number_rows`). A market of n rows
     gives n + width - 1 points ``j, y``. On the left the mirror leaves out the first value,
-    on the right it repeats the last. Widths below 3 return the values; a market with fewer
-    rows than ``width`` raises an error.
+    on the right it repeats the last. Widths below 3 return the values. Markets with fewer rows
+    than ``width`` give no points; :func:`left_out` lists them. Each point is a sum over its own
+    ``width`` values, so a huge or undefined value touches no other points; a null counts as NaN.
     """
     if window not in KERNELS:
-        raise ValueError(f"Window is one of {KERNELS}")
+        raise ValueError(f"window must be one of {KERNELS}")
     rn, n, w = F.col("rn"), F.col("n_rows"), width
-    values = numbered.select(*MARKET, rn, n, F.col(value).cast("double").alias("x"))
+    known = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    values = numbered.select(*MARKET, rn, n, known.alias("x"))
     if w < 3:
         return values.select(*MARKET, rn.alias("j"), n.alias("n_points"), F.col("x").alias("y"))
 
-    enough = F.when(
-        n < w, F.raise_error(F.lit("Input vector needs to be bigger than window size."))
-    )
     positions = F.array_compact(
         F.array(
-            F.coalesce(enough.cast("bigint"), rn + (w - 1)),
+            rn + (w - 1),
             F.when(rn.between(1, w - 1), F.lit(w - 1) - rn),
             F.when(rn >= n - w + 1, n * 2 + (w - 2) - rn),
         )
     )
-    placed = values.select(*MARKET, n, "x", F.explode(positions).alias("pos"))
+    placed = values.where(n >= w).select(*MARKET, n, "x", F.explode(positions).alias("pos"))
     size = max(size, 8 * w)
     # The point j is the kernel over positions j .. j + w - 1.
     points = n + (w - 1)
     first = F.greatest(F.col("pos") - (w - 1), F.lit(0))
     spread = blocks.slabs(placed, first, F.least(F.col("pos"), points - 1), size)
-    slab = [*MARKET, "_slab"]
-
+    ahead = Window.partitionBy(*MARKET, "_slab").orderBy("pos").rowsBetween(0, w - 1)
     if window == "flat":
-        upto = Window.partitionBy(*slab).orderBy("pos")
-        total = F.sum("x").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-        sums = spread.withColumn("_total", total)
-        passed = F.coalesce(F.lag("_total", w).over(upto), F.lit(0.0))
-        smoothed = sums.select(
-            *slab, n, (F.col("pos") - (w - 1)).alias("j"), ((F.col("_total") - passed) / w).alias("y")
-        ).where((F.col("j") >= 0) & (F.floor(F.col("j") / size) == F.col("_slab")))
-        return smoothed.select(*MARKET, "j", points.alias("n_points"), "y")
-
-    weights = kernel(window, w)
-
-    def convolve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        y = np.convolve(weights, rows["x"].to_numpy(), mode="valid")
-        j = rows["pos"].to_numpy()[: len(y)]
-        own = j // size == key[-1]
-        return pd.DataFrame(
-            {
-                "exchange": key[0],
-                "instrument": key[1],
-                "j": j[own],
-                "n_points": rows["n_rows"].iloc[0] + w - 1,
-                "y": y[own],
-            }
-        )
-
-    return spread.groupBy(*slab).applyInPandas(
-        convolve, "exchange string, instrument string, j bigint, n_points bigint, y double"
-    )
+        y = F.avg("x").over(ahead)
+    else:
+        weights = F.array(*[F.lit(float(k)) for k in kernel(window, w)])
+        weighed = F.zip_with(F.collect_list("x").over(ahead), weights, lambda x, k: x * k)
+        y = F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b)
+    own = (F.col("pos") < points) & (F.floor(F.col("pos") / size) == F.col("_slab"))
+    smoothed = spread.withColumn("y", y).where(own)
+    return smoothed.select(*MARKET, F.col("pos").alias("j"), points.alias("n_points"), "y")
 
 
 def decimate_points(points: DataFrame, step: int, trim: int = 0) -> DataFrame:

@@ -120,6 +120,34 @@ def _(spark, sf):
     )
 
 
+def _kernel_query(name: str, weight: str) -> None:
+    @query(
+        f"smooth_{name}",
+        _smooth_sql(11, weight) + f"SELECT exchange, instrument, j, {sql_rounded('y')} AS y FROM y",
+    )
+    def _(spark, sf):
+        return smooth.smooth(_numbered(spark, sf), "p", 11, name).select(
+            *MARKET, "j", rounded("y").alias("y")
+        )
+
+
+_kernel_query("hamming", "0.54 - 0.46 * cos(2 * pi() * o / 10)")
+_kernel_query("bartlett", "1 - abs(2.0::DOUBLE * o / 10 - 1)")
+_kernel_query("blackman", "0.42 - 0.5 * cos(2 * pi() * o / 10) + 0.08 * cos(4 * pi() * o / 10)")
+
+THIN = 1_000
+
+
+@query(
+    "smooth_thin",
+    f"""WITH {TRADES_SQL} SELECT exchange, instrument, count(*) AS n_rows FROM trades
+    GROUP BY 1, 2 HAVING count(*) < {THIN}""",
+)
+def _(spark, sf):
+    """Markets too thin for a kernel of 1000 points."""
+    return smooth.left_out(_numbered(spark, sf), THIN)
+
+
 @query(
     "smooth_decimate",
     _smooth_sql(20, "1.0::DOUBLE")
