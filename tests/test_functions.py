@@ -114,6 +114,9 @@ def test_calendar_parts(spark):
         (".5", 1, 5), ("7.", 0, 7), ("1e-7", 8, 10), ("1.5E3", 1, 15000), ("+3.1", 1, 31),
         ("abc", 2, None), ("", 2, None), (".", 2, None), ("99999999999999999999", 0, None),
         ("0.123456789012345678901234567890", 18, 123456789012345678),
+        ("1.9999999999999999999e0", 0, 1), ("-1.9999999999999999999e0", 0, -1),
+        ("123.456e-2", 3, 1234), ("0.00012e5", 0, 12), ("9e-400", 5, 0), ("1e18", 0, 10**18),
+        ("1e19", 0, None), ("0e99", 2, 0), ("1e", 2, None), ("00012.5", 1, 125),
     ],
 )
 def test_units_are_cut_not_rounded(spark, text, scale, units):
@@ -126,7 +129,7 @@ def test_seconds_round_half_even_on_the_binary_value(spark):
         [
             rng.integers(1_300_000_000 * 10**6, 1_900_000_000 * 10**6, 4000) / 1e6,
             1_700_000_000 + np.arange(64) / 64,
-            [1607848390.407, 0.0, 1234567.5],
+            [1607848390.407, 0.0, 1234567.5, 3.25],
         ]
     ).tolist()
     want = [
@@ -135,6 +138,7 @@ def test_seconds_round_half_even_on_the_binary_value(spark):
     rows = spark.createDataFrame(list(enumerate(seconds)), "i long, s double")
     got = rows.select("i", numbers.seconds_to_ns(F.col("s")).alias("ns")).orderBy("i").collect()
     assert [r["ns"] for r in got] == want
+    assert one(spark, numbers.seconds_to_ns(F.col("s")), s=0.1) is None
 
 
 def test_symbols(spark):

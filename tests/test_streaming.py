@@ -45,13 +45,19 @@ def test_ingest_equals_batch_and_resumes(spark, folder):
 
 
 def test_bad_numbers_are_rejected(spark, folder):
-    rows = views.raw_trades(spark, SF).withColumn(
-        "price", F.when(F.col("seq") == 5, "oops").otherwise(F.col("price"))
+    seq = F.col("seq")
+    rows = (
+        views.raw_trades(spark, SF)
+        .withColumn("price", F.when(seq == 5, "oops").otherwise(F.col("price")))
+        .withColumn("time", F.when(seq != 7, F.col("time")))
+        .withColumn("exchange", F.when(seq != 9, F.col("exchange")))
     )
     land(rows, f"{folder}/landing", parts=1)
     run(spark, folder)
-    assert ingest.read_write_ahead(spark, f"{folder}/lake").count() == rows.count() - 1
-    assert [r["seq"] for r in spark.read.parquet(f"{folder}/lake/rejects").collect()] == [5]
+    assert ingest.read_write_ahead(spark, f"{folder}/lake").count() == rows.count() - 3
+    kept = {r["seq"]: r for r in spark.read.parquet(f"{folder}/lake/rejects").collect()}
+    assert {s: r["reason"] for s, r in kept.items()} == {5: "price.int", 7: "time", 9: "exchange"}
+    assert kept[5]["price"] == "oops" and kept[7]["misc"] is not None
 
 
 def test_repeated_batch_replaces_itself(spark, folder):

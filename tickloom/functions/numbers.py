@@ -15,18 +15,28 @@ def as_double(decimal: Column) -> Column:
     return decimal["int"] / F.pow(F.lit(10.0), decimal["scale"])
 
 
+# Longer digit strings do not fit 64 bits, whatever their scale.
+MOST_DIGITS = 60
+
 def to_units(text: Column, scale: Column) -> Column:
     """Decimal text as an integer of ``10^-scale`` units, cut toward zero; null if unreadable.
 
-    Works on the digits, so no digit is rounded away before the cut.
+    Works on the digits, also with an exponent, so no digit is rounded away before the cut.
     """
-    plain = F.when(
-        text.rlike("[eE]"), text.try_cast("decimal(38,18)").cast("string")
-    ).otherwise(F.trim(text))
-    form = r"\A([+-]?)(\d*)(?:\.(\d*))?\z"
-    sign, whole, part = (F.regexp_extract(plain, form, g) for g in (1, 2, 3))
-    digits = F.concat(whole, F.rpad(F.substring(part, F.lit(1), scale), scale, F.lit("0")))
-    units = F.when(plain.rlike(r"\A[+-]?(\d+\.?\d*|\.\d+)\z"), digits.try_cast("bigint"))
+    plain = F.trim(text)
+    form = r"\A([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,6}))?\z"
+    sign, whole, part, exponent = (F.regexp_extract(plain, form, g) for g in (1, 2, 3, 4))
+    shift = F.coalesce(exponent.try_cast("int"), F.lit(0))
+    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
+    zeros = F.length(whole) + F.length(part) - F.length(digits)
+    # How many of the digits stand before the cut.
+    size = F.length(whole) + shift + scale - zeros
+    kept = (
+        F.when((digits == "") | (size <= 0), F.lit("0"))
+        .when(size <= MOST_DIGITS, F.rpad(F.substring(digits, F.lit(1), size), size, F.lit("0")))
+    )
+    readable = plain.rlike(r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,6})?\z")
+    units = F.when(readable, kept.try_cast("bigint"))
     return F.when(sign == "-", -units).otherwise(units)
 
 
@@ -34,10 +44,12 @@ def seconds_to_ns(seconds: Column) -> Column:
     """Epoch seconds in a double, rounded half-even to five decimals, as nanoseconds.
 
     The binary value decides ties, not its shortest decimal text. From 1970-01-13 on, a
-    double's fraction is a whole number of 2^-32 seconds, so integers carry it exactly.
+    double's fraction is a whole number of 2^-32 seconds, so integers carry it exactly; earlier
+    times with a finer fraction give null.
     """
     whole = F.floor(seconds)
-    units = ((seconds - whole) * F.lit(float(1 << 32))).cast("bigint") * F.lit(100_000)
+    fine = (seconds - whole) * F.lit(float(1 << 32))
+    units = F.when(fine == F.floor(fine), fine.cast("bigint")) * F.lit(100_000)
     half = F.lit(1 << 31)
     quotient = F.shiftright(units, 32)
     rest = units - F.shiftleft(quotient, 32)

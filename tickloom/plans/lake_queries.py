@@ -268,6 +268,20 @@ def _(spark, sf):
     return raw.normalize(views.raw_trades(spark, sf)).select(*normalized_columns())
 
 
+@query(
+    "ingest_rejects",
+    """WITH e AS (SELECT event_id AS seq,
+      CASE WHEN event_id % 70 = 3 THEN 'time' WHEN event_id % 50 = 4 THEN 'price.int'
+           WHEN event_id % 90 = 5 THEN 'amount.int' END AS reason,
+      CASE WHEN event_id % 50 = 4 THEN 'abc' ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS price,
+      CASE WHEN event_id % 90 = 5 THEN repeat('9', 24) ELSE json_extract_string(props,'$.k') END AS amount
+      FROM events)
+    SELECT * FROM e WHERE reason IS NOT NULL""",
+)
+def _(spark, sf):
+    return raw.rejects(views.spoiled_raw_trades(spark, sf)).select("seq", "reason", "price", "amount")
+
+
 @query(
     "conform_trades",
     """SELECT epoch_us(ts) AS time_us, event_id AS seq, CAST(round(value*100) AS BIGINT) AS price_int,
@@ -758,3 +772,22 @@ def _(spark, sf):
     return rows.withColumn("price_units", (F.col("price") * 100).cast("bigint")).withColumn(
         "amount", F.col("amount").cast("bigint")
     ).drop("price")
+
+
+@query(
+    "message_rejects",
+    """WITH e AS (SELECT *, 'capture-' || CAST(event_id // 500 AS VARCHAR) AS path, event_id % 500 AS seq,
+        CAST(json_extract_string(props,'$.k') AS BIGINT) % 4 = 0 AS gone
+      FROM events WHERE event_id % 500 >= 2),
+    r AS (SELECT path, seq, seq % 40 AS place, CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 3
+        WHEN 'error' THEN 2 ELSE CASE WHEN gone THEN 0 ELSE 1 END END AS prices FROM e)
+    SELECT path, seq, CASE WHEN place = 7 THEN 'json' WHEN place = 8 THEN 'kind' ELSE 'price' END AS reason,
+      CASE WHEN place = 9 THEN 'abc' WHEN place = 11 THEN repeat('9', 24) WHEN place = 13 THEN '0.1234567890123456789' END AS text,
+      CAST(CASE WHEN place IN (7, 8) THEN 1 ELSE prices END AS BIGINT) AS n
+    FROM r WHERE place IN (7, 8) OR place IN (9, 11, 13) AND prices > 0""",
+)
+def _(spark, sf):
+    left_out = messages.rejects(views.spoiled_message_texts(spark, sf))
+    whole = F.col("reason").isin("json", "kind")
+    text = F.when(~whole, F.col("text")).alias("text")
+    return left_out.groupBy("path", "seq", "reason", text).agg(F.count(F.lit(1)).alias("n"))

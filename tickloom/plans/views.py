@@ -386,6 +386,32 @@ def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spoiled_raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw trades of which some lack a time, and some have no readable or too long a number."""
+    e = F.col("seq")
+    return (
+        raw_trades(spark, sf_dir)
+        .withColumn("time", F.when(e % 70 != 3, F.col("time")))
+        .withColumn("price", F.when(e % 50 == 4, "abc").otherwise(F.col("price")))
+        .withColumn("amount", F.when(e % 90 == 5, "9" * 24).otherwise(F.col("amount")))
+    )
+
+
+def spoiled_message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured messages of which some are cut off, unknown, or hold bad prices."""
+    text, at = F.col("payload"), F.col("seq") % 40
+    prices = lambda price: F.regexp_replace(text, r'"priceStr":"[^"]*"', f'"priceStr":"{price}"')
+    payload = (
+        F.when(at == 7, F.substring(text, 1, 20))
+        .when(at == 8, F.lit('{"marketUpdate":{"market":{"marketId":1}}}'))
+        .when(at == 9, prices("abc"))
+        .when(at == 11, prices("9" * 24))
+        .when(at == 13, prices("0.1234567890123456789"))
+        .otherwise(text)
+    )
+    return message_texts(spark, sf_dir).withColumn("payload", payload)
+
+
 def _capture(event_id: Column) -> Column:
     number = F.floor(event_id / CAPTURE_FRAMES).cast("bigint").cast("string")
     return F.concat(F.lit("capture-"), number)

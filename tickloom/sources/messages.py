@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import schema
@@ -13,6 +13,9 @@ REPLIES = 2
 
 LEVEL_PRICE = "decimal(38,18)"
 
+# What that type holds without a loss.
+READABLE = r"\A[+-]?(\d{1,20}(\.\d{0,18}0*)?|\.\d{1,18}0*)\z"
+
 KINDS = {
     "trade": "tradesUpdate",
     "snapshot": "orderBookUpdate",
@@ -21,14 +24,35 @@ KINDS = {
 }
 
 
+def number(text: Column) -> Column:
+    """A price or amount; null if the text is no number or has more digits than fit."""
+    return F.when(text.rlike(READABLE), text.try_cast(LEVEL_PRICE))
+
+
+def _known(update: Column) -> Column:
+    return F.coalesce(*[F.when(update[f].isNotNull(), F.lit(k)) for k, f in KINDS.items()])
+
+
+def unreadable_messages(frames: DataFrame) -> DataFrame:
+    """Frames that :func:`parse` leaves out, or knows no kind of: ``path, seq, reason, text``."""
+    text = F.col("payload").cast("string")
+    update = F.col("m.marketUpdate")
+    reason = F.when(update.isNull(), "json").when(_known(update).isNull(), "kind")
+    read = pin(frames.where(F.col("seq") >= REPLIES), m=F.from_json(text, schema.MESSAGE))
+    return read.where(reason.isNotNull()).select("path", "seq", reason.alias("reason"), text.alias("text"))
+
+
 def parse(frames: DataFrame) -> DataFrame:
-    """Messages of ``path, seq, payload`` frames: their kind, market ids and update."""
+    """Messages of ``path, seq, payload`` frames: their kind, market ids and update.
+
+    Others are listed by :func:`unreadable_messages`.
+    """
     text = F.col("payload").cast("string")
     update = F.col("m.marketUpdate")
-    kind = F.coalesce(*[F.when(update[f].isNotNull(), F.lit(k)) for k, f in KINDS.items()])
+    kind = _known(update)
     return (
         pin(frames.where(F.col("seq") >= REPLIES), m=F.from_json(text, schema.MESSAGE))
-        .where(update.isNotNull())
+        .where(kind.isNotNull())
         .select(
             "path",
             "seq",
@@ -44,11 +68,39 @@ def parse(frames: DataFrame) -> DataFrame:
     )
 
 
+_IDS = ["path", "seq", "kind", "exchange_id", "instrument_id", "market_id", "seq_num"]
+
+
+def _whole() -> Column:
+    readable = F.col("row.price").isNotNull() & F.col("row.amount").isNotNull()
+    return F.col("row").isNull() | readable
+
+
 def market_updates(messages: DataFrame) -> DataFrame:
     """One row per trade, book level or spread side, all kinds in one shape.
 
-    ``amount`` 0 removes a level. Times exist on trades (ns) and spreads (ms) only.
+    ``amount`` 0 removes a level. Times exist on trades (ns) and spreads (ms) only. Rows whose
+    price or amount cannot be read are listed by :func:`unreadable_values`.
     """
+    rows = _items(messages).where(_whole())
+    return rows.select(*_IDS, "row.side", "row.time_ns", "row.price", "row.amount", "row.external_id")
+
+
+def unreadable_values(messages: DataFrame) -> DataFrame:
+    """Items of messages with a price or amount that is no number or too long:
+    ``path, seq, reason, text``."""
+    no_price = F.col("row.price").isNull()
+    text = F.when(no_price, F.col("row.price_text")).otherwise(F.col("row.amount_text"))
+    reason = F.when(no_price, "price").otherwise("amount")
+    return _items(messages).where(~_whole()).select("path", "seq", reason.alias("reason"), text.alias("text"))
+
+
+def rejects(frames: DataFrame) -> DataFrame:
+    """Everything of the frames that does not reach :func:`market_updates`, with its text."""
+    return unreadable_messages(frames).unionByName(unreadable_values(parse(frames)))
+
+
+def _items(messages: DataFrame) -> DataFrame:
     u = F.col("update")
 
     def rows(items, side, time_ns, price, amount, external=None):
@@ -58,15 +110,17 @@ def market_updates(messages: DataFrame) -> DataFrame:
             lambda x: F.struct(
                 side(x).alias("side"),
                 time_ns(x).alias("time_ns"),
-                price(x).alias("price"),
-                amount(x).alias("amount"),
+                number(price(x)).alias("price"),
+                number(amount(x)).alias("amount"),
                 (external(x) if external else none).alias("external_id"),
+                price(x).alias("price_text"),
+                amount(x).alias("amount_text"),
             ),
         )
 
     no_time = lambda x: F.lit(None).cast("bigint")
-    price_of = lambda x: x["priceStr"].try_cast(LEVEL_PRICE)
-    amount_of = lambda x: x["amountStr"].try_cast(LEVEL_PRICE)
+    price_of = lambda x: x["priceStr"]
+    amount_of = lambda x: x["amountStr"]
 
     def named(side):
         return lambda x: F.lit(side)
@@ -79,8 +133,8 @@ def market_updates(messages: DataFrame) -> DataFrame:
             items,
             named(side),
             no_time,
-            lambda x: x.try_cast(LEVEL_PRICE),
-            lambda x: F.lit(0).cast(LEVEL_PRICE),
+            lambda x: x,
+            lambda x: F.lit("0"),
         )
 
     trades = rows(
@@ -121,15 +175,10 @@ def market_updates(messages: DataFrame) -> DataFrame:
         .when(kind == "spread", F.concat(spread_side("bid"), spread_side("ask")))
     )
     # An empty snapshot still replaces the book: explode_outer keeps one row without a level.
-    return messages.select(
-        "path", "seq", "kind", "exchange_id", "instrument_id", "market_id", "seq_num",
-        F.explode_outer(every).alias("row"),
-    ).select(
-        "path", "seq", "kind", "exchange_id", "instrument_id", "market_id", "seq_num", "row.*"
-    )
+    return messages.select(*_IDS, F.explode_outer(every).alias("row"))
 
 
 _ROW = (
     "array<struct<side:string,time_ns:bigint,price:decimal(38,18),amount:decimal(38,18),"
-    "external_id:string>>"
+    "external_id:string,price_text:string,amount_text:string>>"
 )

@@ -39,12 +39,14 @@ def _decode(code: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(table, code)
 
 
-def normalize(raw: DataFrame) -> DataFrame:
+def normalize(raw: DataFrame, *more: str) -> DataFrame:
     """Raw trades to canonical trades, row by row, so it fits batches and streams.
 
+    Columns named in ``more`` are kept beside the canonical ones.
+
     Unknown sides and orders become null and are kept, with ``misc``, in ``extra_json``
-    under the source's name. A price or amount that is no number gives a null ``int``;
-    split such rows off with :func:`rejects`.
+    under the source's name. A price or amount that is no number gives a null ``int``; rows with
+    a null in a required column are split off by :func:`accepted` and :func:`rejects`.
     """
     side, order = _decode(F.col("side"), SIDES), _decode(F.col("order"), ORDERS)
     kept = F.struct(
@@ -74,19 +76,31 @@ def normalize(raw: DataFrame) -> DataFrame:
         "exchange",
         "instrument",
         "source",
+        *more,
     )
 
 
-def is_whole() -> Column:
-    return F.col("price.int").isNotNull() & F.col("amount.int").isNotNull()
+def reason() -> Column:
+    """The first required column that a normalized row lacks; null if it is whole."""
+    checks = []
+    for name in schema.REQUIRED:
+        column, _, part = name.partition(".")
+        value = F.col(column)[part] if part else F.col(column)
+        checks.append(F.when(value.isNull(), F.lit(name)))
+    return F.coalesce(*checks)
 
 
 def accepted(normalized: DataFrame) -> DataFrame:
-    return normalized.where(is_whole())
+    return normalized.where(reason().isNull())
 
 
-def rejects(normalized: DataFrame) -> DataFrame:
-    return normalized.where(~is_whole())
+def rejects(raw: DataFrame) -> DataFrame:
+    """The landed rows that :func:`accepted` leaves out, as they came, with the ``reason``."""
+    landed = F.struct(*[F.col(c) for c in schema.RAW_TRADES.fieldNames()])
+    # The landed row rides along as one more column, so each row is looked at once.
+    kept = raw.withColumn("_landed", landed)
+    normalized = normalize(kept, "_landed")
+    return normalized.where(reason().isNotNull()).select("_landed.*", reason().alias("reason"))
 
 
 def conform(stored: DataFrame) -> DataFrame:

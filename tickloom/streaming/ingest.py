@@ -87,24 +87,18 @@ def ingest(
     """Normalize a stream of raw trades and append it to the write-ahead area.
 
     ``until_now`` stops once all landed files are read; the next run goes on behind them.
-    Rows whose price or amount is no number go to ``rejects``.
+    Rows that lack a time, a number or a name go to ``rejects`` as they landed, with the reason.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Read once for both outputs; lost blocks are computed again from the files.
         batch = batch.persist()
         try:
-            append_batch(raw.accepted(batch), batch_id, root)
-            raw.rejects(batch).select(
-                "source", "exchange", "instrument", "seq", "time_ns"
-            ).write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
+            append_batch(raw.accepted(raw.normalize(batch)), batch_id, root)
+            raw.rejects(batch).write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
-    writer = (
-        raw.normalize(raw_stream)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = raw_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if until_now else writer.trigger(processingTime=every)
     return writer.start()
