@@ -15,8 +15,29 @@ def as_double(decimal: Column) -> Column:
     return decimal["int"] / F.pow(F.lit(10.0), decimal["scale"])
 
 
-# Longer digit strings do not fit 64 bits, whatever their scale.
-MOST_DIGITS = 60
+# Zeros that an exponent adds at most: no number with more digits fits 64 bits.
+MOST_ZEROS = 60
+
+
+def _without_exponent(text: Column) -> Column:
+    """Digits moved past the point as the exponent says; other texts come back as they are."""
+    form = r"\A([+-]?)(\d*)\.?(\d*)[eE]([+-]?\d{1,6})\z"
+
+    def moved(t: Column) -> Column:
+        sign, whole, part, exponent = (F.regexp_extract(t, form, g) for g in (1, 2, 3, 4))
+        digits = F.concat(whole, part)
+        point = F.length(whole) + exponent.cast("int")
+        zeros = lambda n: F.repeat(F.lit("0"), F.least(n, F.lit(MOST_ZEROS)))
+        text = (
+            F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits))
+            .when(point >= F.length(digits), F.concat(digits, zeros(point - F.length(digits))))
+            .otherwise(F.concat_ws(".", F.substring(digits, F.lit(1), point), F.substring(digits, point + 1, F.length(digits))))
+        )
+        return F.when((digits != "") & t.rlike(form), F.concat(sign, text)).otherwise(t)
+
+    # In a lambda the text is one variable, and the long expression stays out of generated code.
+    return F.transform(F.array(text), moved)[0]
+
 
 def to_units(text: Column, scale: Column) -> Column:
     """Decimal text as an integer of ``10^-scale`` units, cut toward zero; null if unreadable.
@@ -24,19 +45,11 @@ def to_units(text: Column, scale: Column) -> Column:
     Works on the digits, also with an exponent, so no digit is rounded away before the cut.
     """
     plain = F.trim(text)
-    form = r"\A([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,6}))?\z"
-    sign, whole, part, exponent = (F.regexp_extract(plain, form, g) for g in (1, 2, 3, 4))
-    shift = F.coalesce(exponent.try_cast("int"), F.lit(0))
-    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
-    zeros = F.length(whole) + F.length(part) - F.length(digits)
-    # How many of the digits stand before the cut.
-    size = F.length(whole) + shift + scale - zeros
-    kept = (
-        F.when((digits == "") | (size <= 0), F.lit("0"))
-        .when(size <= MOST_DIGITS, F.rpad(F.substring(digits, F.lit(1), size), size, F.lit("0")))
-    )
-    readable = plain.rlike(r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,6})?\z")
-    units = F.when(readable, kept.try_cast("bigint"))
+    plain = F.when(plain.rlike("[eE]"), _without_exponent(plain)).otherwise(plain)
+    form = r"\A([+-]?)(\d*)(?:\.(\d*))?\z"
+    sign, whole, part = (F.regexp_extract(plain, form, g) for g in (1, 2, 3))
+    digits = F.concat(whole, F.rpad(F.substring(part, F.lit(1), scale), scale, F.lit("0")))
+    units = F.when(plain.rlike(r"\A[+-]?(\d+\.?\d*|\.\d+)\z"), digits.try_cast("bigint"))
     return F.when(sign == "-", -units).otherwise(units)
 
 
