@@ -113,6 +113,17 @@ def tier_buckets(catalog: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def bucket_of(time: Column, now: Column) -> Column:
+    """The year, month or day that a time belongs to, seen from ``now``."""
+    at = now.cast("timestamp")
+    unit = (
+        F.when(time < F.date_trunc("year", at), "year")
+        .when(time < F.date_trunc("month", at), "month")
+        .otherwise("day")
+    )
+    return _bucket_name(unit, time)
+
+
 def _bucket_name(unit: Column, start: Column) -> Column:
     return (
         F.when(unit == "year", F.date_format(start, "yyyy"))

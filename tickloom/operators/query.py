@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom import schema
 from tickloom.functions import numbers, symbols, timefmt
-from tickloom.sources import lake
+from tickloom.sources import lake, versions
 
 SUBJECT_COLUMNS = {"trades": schema.TRADE_COLUMNS}
 
@@ -64,11 +64,12 @@ class Query:
             found += [F.col("year") <= last.year, F.col("time_ns") < self.end.value]
         return found
 
-    def run(self, spark: SparkSession, root: str) -> DataFrame:
-        """The lazy result over the lake below ``root``."""
+    def run(self, spark: SparkSession, root: str, versioned: bool = False) -> DataFrame:
+        """The lazy result over the lake below ``root``; ``versioned``: over its current version."""
         if not self.subject:
             raise ValueError("Query: you must specify the subject")
-        rows = reduce(DataFrame.where, self.filters, lake.scan(spark, root, self.subject))
+        scan = versions.scan if versioned else lake.scan
+        rows = reduce(DataFrame.where, self.filters, scan(spark, root, self.subject))
         chosen = self.columns or tuple(SUBJECT_COLUMNS[self.subject])
         plain = symbols.from_path(F.col("instrument")).alias("instrument")
         return rows.select(*[plain if c == "instrument" else c for c in chosen])
@@ -155,8 +156,8 @@ class QueryBuilder:
     def build(self) -> Query:
         return Query(**copy.copy(self._state))
 
-    def run(self, spark: SparkSession, root: str) -> DataFrame:
-        return self.build().run(spark, root)
+    def run(self, spark: SparkSession, root: str, versioned: bool = False) -> DataFrame:
+        return self.build().run(spark, root, versioned)
 
     def __str__(self) -> str:
         return self.build().describe()

@@ -11,7 +11,7 @@ from tickloom.plans import views
 from tickloom.plans.pin import pin
 from tickloom.plans.registry import micros, query, rounded, sql_rounded
 from tickloom.plans.views import LONG_TRADES_SQL, PAIRS_SQL, TRADES_SQL
-from tickloom.sources import catalog, frames, lake, messages, raw
+from tickloom.sources import catalog, frames, lake, messages, raw, versions
 from tickloom.streaming import ingest
 
 
@@ -791,3 +791,43 @@ def _(spark, sf):
     whole = F.col("reason").isin("json", "kind")
     text = F.when(~whole, F.col("text")).alias("text")
     return left_out.groupBy("path", "seq", "reason", text).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- a lake in versions ----------------------------------------------------------------
+
+
+@query(
+    "compact_lake",
+    f"WITH {TRADES_SQL} SELECT time_us, seq, price_int, yr AS year, exchange, instrument, source FROM trades",
+)
+def _(spark, sf):
+    """All rows, read back through the query builder after two compactions."""
+    rows = _builder().run(spark, views.versioned_lake(spark, sf), versioned=True)
+    return rows.select(
+        micros("time").alias("time_us"), "seq", F.col("price.int").alias("price_int"),
+        "year", "exchange", "instrument", "source",
+    )
+
+
+@query(
+    "catalog_of_lake",
+    f"""WITH {TRADES_SQL}, u AS (SELECT *, make_timestamp(time_us) AS t FROM trades)
+    SELECT exchange, instrument, source,
+      CASE WHEN t < DATE '2024-01-01' THEN strftime(t, '%Y') WHEN t < DATE '2024-02-01' THEN strftime(t, '%Y-%m')
+        ELSE strftime(t, '%Y-%m-%d') END AS unit,
+      min(time_us) * 1000 AS start_ns, max(time_us) * 1000 + 1 AS end_ns, count(*) AS rows
+    FROM u GROUP BY ALL""",
+)
+def _(spark, sf):
+    rows = versions.catalog(spark, views.versioned_lake(spark, sf))
+    return rows.select(*versions.UNIT, "start_ns", "end_ns", "rows")
+
+
+@query(
+    "resume_lake",
+    f"""WITH {TRADES_SQL} SELECT exchange, instrument, max(time_us) * 1000 + 1 AS since_ns
+    FROM trades GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Where a download of each market goes on."""
+    return ingest.high_watermark(versions.catalog(spark, views.versioned_lake(spark, sf)))

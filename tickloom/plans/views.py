@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tickloom import schema, session
 from tickloom.functions import numbers
 from tickloom.plans import blocks
-from tickloom.sources import frames, lake
+from tickloom.sources import frames, lake, versions
+from tickloom.streaming import ingest
 
 CAPTURE_FRAMES = 500
 
@@ -136,6 +137,29 @@ def lake_of(spark: SparkSession, sf_dir: str, name: str) -> str:
     return _once(spark, sf_dir, name, lambda root: lake.write(build(spark, sf_dir), root))
 
 
+# When the versioned lake below was last compacted.
+LAKE_NOW = "2024-02-03 12:00:00"
+
+
+def versioned_lake(spark: SparkSession, sf_dir: str) -> str:
+    """Root of a lake that took in three write-ahead batches in two compactions.
+
+    The last batch also has late rows of finished days, some of them a second time.
+    """
+    session.prepare(spark)
+
+    def build(root: str) -> None:
+        rows = trades(spark, sf_dir)
+        day, late, again = F.dayofmonth("time"), F.col("seq") % 997 == 0, F.col("seq") % 991 == 0
+        ingest.append_batch(rows.where((day < 4) & ~late), 0, root)
+        versions.compact(spark, root, F.lit("2024-01-04 00:00:00"))
+        ingest.append_batch(rows.where((day >= 4) & (day < 21) & ~late), 1, root)
+        ingest.append_batch(rows.where((day >= 21) | late | again), 2, root)
+        versions.compact(spark, root, F.lit(LAKE_NOW))
+
+    return _once(spark, sf_dir, "versioned", build)
+
+
 def stored(
     spark: SparkSession,
     sf_dir: str,
