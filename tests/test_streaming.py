@@ -1,5 +1,3 @@
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,28 +78,33 @@ def test_loaders(spark, folder):
         raw.load(spark, "nowhere", folder)
 
 
-def test_stream_bars_equal_batch(spark, folder):
+def test_bars_and_late_trades_hold_every_trade(spark, folder):
     trades = views.trades(spark, SF)
-    trades.repartitionByRange(5, "time_ns").sortWithinPartitions("time_ns").write.parquet(
-        f"{folder}/trades"
-    )
-    # Read in time order, one file per batch, as a live feed would come.
-    source = (
-        spark.readStream.schema(TRADES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/trades")
-    )
-    for i, name in enumerate(sorted(f for f in os.listdir(f"{folder}/trades") if f.endswith("parquet"))):
-        os.utime(f"{folder}/trades/{name}", (1_600_000_000 + i, 1_600_000_000 + i))
-    late = stream_bars.stream_ohlc(source, "1d", late="1 hour")
-    query = stream_bars.write_ohlc(late, f"{folder}/bars", f"{folder}/checkpoint")
-    query.awaitTermination(300)
-    assert query.exception() is None
-    got = spark.read.parquet(f"{folder}/bars")
-    want = bars.ohlc(trades, "1d")
-    assert got.count() > 0.8 * want.count()
-    assert got.select(*want.columns).exceptAll(want).count() == 0
-    # Only bars behind the watermark are out; all but the newest days are.
-    newest = want.agg(F.max("bar")).first()[0]
-    assert want.where(F.col("bar") < newest).exceptAll(got.select(*want.columns)).count() == 0
+    # One file per batch, out of time order.
+    days = trades.select(F.to_date("time").alias("d")).distinct().orderBy("d").collect()
+    parts = [days[5:9], days[:5], days[9:], days[3:3]]
+    for i, part in enumerate(parts[:3]):
+        rows = trades.where(F.to_date("time").isin([r["d"] for r in part]))
+        rows = rows.where("seq % 9 <> 0") if i == 0 else rows
+        if i == 2:
+            first = trades.where(F.to_date("time").isin([r["d"] for r in parts[0]]))
+            rows = rows.unionByName(first.where("seq % 9 = 0"))
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/trades")
+        source = spark.readStream.schema(TRADES).parquet(f"{folder}/trades")
+        query = stream_bars.ingest_bars(source, f"{folder}/bars", f"{folder}/checkpoint", "1d", "1 hour")
+        query.awaitTermination(300)
+        assert query.exception() is None
+    got = stream_bars.read_bars(spark, f"{folder}/bars", "1 hour")
+    late = stream_bars.read_late(spark, f"{folder}/bars")
+    assert late.count() > 0 and got.where("closed").count() > 0
+    assert got.agg(F.sum("trades")).first()[0] + late.count() == trades.count()
+    want = bars.ohlc(trades.join(late.select("seq"), "seq", "left_anti"), "1d")
+    assert same(got.select(*want.columns), want)
+    # A batch that is repeated changes nothing.
+    stream_bars.add_batch(spark.read.schema(TRADES).parquet(f"{folder}/trades").limit(0), 9, f"{folder}/bars", "1d", "1 hour")
+    assert same(stream_bars.read_bars(spark, f"{folder}/bars", "1 hour"), got)
+    with pytest.raises(ValueError):
+        stream_bars.ingest_bars(source, folder, folder, "2d")
 
 
 def test_stream_book_equals_batch(spark, folder):

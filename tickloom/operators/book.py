@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans import blocks
+from tickloom.plans.settle import dimension
 
 # Sequence numbers rise by one per message, so blocks of this width have equal sizes.
 SEQ_WIDTH = 100_000
@@ -22,13 +23,17 @@ SEQ_WIDTH = 100_000
 
 
 def market_lookup(
-    messages: DataFrame, exchanges: DataFrame, markets: DataFrame
+    messages: DataFrame, exchanges: DataFrame, instruments: DataFrame, markets: DataFrame
 ) -> DataFrame:
-    """Add ``exchange`` and ``market`` symbols by id; unknown ids stay, with null symbols.
+    """Add ``exchange``, ``instrument`` and ``market`` symbols by id; unknown ids stay, with null
+    symbols.
 
-    No hint: Spark broadcasts a dimension while it is below the size threshold.
+    The ids are few and some hold most messages, so the dimensions go to the messages, as long as
+    their counted size allows.
     """
-    return messages.join(exchanges, "exchange_id", "left").join(markets, "market_id", "left")
+    for name, rows in (("exchange", exchanges), ("instrument", instruments), ("market", markets)):
+        messages = messages.join(dimension(rows, f"{name}s"), f"{name}_id", "left")
+    return messages
 
 
 # -- statistics ------------------------------------------------------------------------

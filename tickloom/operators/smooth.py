@@ -99,10 +99,11 @@ def lag_vectors(numbered: DataFrame, values: list[str], m: int, size: int = SLAB
     )
 
 
-def extrema_model(vectors: DataFrame, iterations: int = 50):
+def extrema_model(vectors: DataFrame, iterations: int = 50, most: int = 1_000_000):
     """Train a linear SVM on each series' first half, predict the second.
 
-    Returns the fitted model and a one-row table with the share of right predictions.
+    At most ``most`` vectors are learned from, chosen by a hash of market and position. Returns
+    the fitted model and a one-row table with the share of right predictions.
     """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
@@ -111,8 +112,10 @@ def extrema_model(vectors: DataFrame, iterations: int = 50):
         array_to_vector(F.col("v")).alias("features"),
         F.col("label").cast("double").alias("label"),
         (F.col("rn") < F.col("n_rows") / 2).alias("train"),
+        F.struct(*MARKET, "rn").alias("place"),
     )
-    model = LinearSVC(maxIter=iterations).fit(data.where("train"))
+    learned = data.where("train").orderBy(F.xxhash64("place")).limit(most).select("features", "label")
+    model = LinearSVC(maxIter=iterations).fit(learned)
     hits = (F.col("prediction") == F.col("label")).cast("double")
     scored = model.transform(data.where("NOT train"))
     return model, scored.agg(F.count(F.lit(1)).alias("n"), F.avg(hits).alias("accuracy"))

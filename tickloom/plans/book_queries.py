@@ -9,9 +9,10 @@ from tickloom.plans import views
 from tickloom.plans.registry import micros, query, rounded, sql_rounded
 from tickloom.plans.views import CATALOG_SQL, LEVELS_SQL, MESSAGES_SQL
 
-EXCHANGES = [(0, "alpha"), (1, "beta"), (2, "gamma")]
-# Market 9 is left out, so that an unknown id occurs.
-MARKETS = [(i, f"{EXCHANGES[i % 3][1]}:m{i}/eur") for i in range(9)]
+# Exchange 2, instrument 6 and market 9 are left out, so that an unknown id of each kind occurs.
+EXCHANGES = [(0, "alpha"), (1, "beta")]
+INSTRUMENTS = [(i, f"i{i}/eur") for i in range(6)]
+MARKETS = [(i, f"{['alpha', 'beta', 'gamma'][i % 3]}:m{i}/eur") for i in range(9)]
 
 NOW = "2000-07-15 12:00:00"
 
@@ -23,15 +24,18 @@ def _values(rows) -> str:
 @query(
     "market_lookup",
     f"""WITH {MESSAGES_SQL}, x AS (SELECT * FROM (VALUES {_values(EXCHANGES)}) AS v(exchange_id, exchange)),
+    i AS (SELECT * FROM (VALUES {_values(INSTRUMENTS)}) AS v(instrument_id, instrument)),
     m AS (SELECT * FROM (VALUES {_values(MARKETS)}) AS v(market_id, market))
-    SELECT event_id, messages.market_id, exchange, market FROM messages
-    LEFT JOIN x ON messages.exchange_id = x.exchange_id LEFT JOIN m ON messages.market_id = m.market_id""",
+    SELECT event_id, messages.market_id, exchange, instrument, market FROM messages
+    LEFT JOIN x ON messages.exchange_id = x.exchange_id LEFT JOIN m ON messages.market_id = m.market_id
+    LEFT JOIN i ON messages.instrument_id = i.instrument_id""",
 )
 def _(spark, sf):
     exchanges = spark.createDataFrame(EXCHANGES, "exchange_id bigint, exchange string")
     markets = spark.createDataFrame(MARKETS, "market_id bigint, market string")
-    return book.market_lookup(views.messages(spark, sf), exchanges, markets).select(
-        "event_id", "market_id", "exchange", "market"
+    instruments = spark.createDataFrame(INSTRUMENTS, "instrument_id bigint, instrument string")
+    return book.market_lookup(views.messages(spark, sf), exchanges, instruments, markets).select(
+        "event_id", "market_id", "exchange", "instrument", "market"
     )
 
 

@@ -197,6 +197,25 @@ def _(spark, sf):
     )
 
 
+@query(
+    "q_start_only",
+    f"""WITH {TRADES_SQL} SELECT seq, time_us FROM trades
+    WHERE make_timestamp(time_us) >= TIMESTAMP '2024-01-15 06:00:00'""",
+)
+def _(spark, sf):
+    builder = _builder().markets("alpha:*").period("2023").start("2024-01-15 06:00").reset("end", "markets")
+    return builder.run(spark, _trades(spark, sf)).select("seq", micros("time").alias("time_us"))
+
+
+@query(
+    "q_timestamps_as_floats",
+    f"WITH {TRADES_SQL} SELECT seq, time_us * 1000 / 1e9::DOUBLE AS time_s, price_int AS price FROM trades",
+)
+def _(spark, sf):
+    rows = _builder().columns("time_ns", "seq", "price").run(spark, _trades(spark, sf))
+    return q.to_numbers(rows, timestamps_as_floats=True).select("seq", "time_s", "price")
+
+
 @query(
     "last_n",
     f"""WITH {TRADES_SQL} SELECT time_us, seq, price_int FROM trades
@@ -304,6 +323,40 @@ def _(spark, sf):
     )
 
 
+@query(
+    "lake_round_trip",
+    f"""WITH {TRADES_SQL} SELECT time_us, seq, price_int, amount_int, side, yr AS year, exchange, instrument
+    FROM trades""",
+)
+def _(spark, sf):
+    """Rows of the older shape, written to a lake and read back."""
+    def build(root):
+        lake.write(raw.conform(views.stored_trades(spark, sf)), root, files=8)
+
+    rows = lake.trades(spark, views._once(spark, sf, "round-trip", build))
+    return rows.select(
+        micros("time").alias("time_us"), "seq", F.col("price.int").alias("price_int"),
+        F.col("amount.int").alias("amount_int"), "side", "year", "exchange", "instrument",
+    )
+
+
+@query(
+    "conform_nested",
+    f"""WITH {TRADES_SQL} SELECT time_us, seq, price_int, CAST(2 AS INTEGER) AS price_scale, amount_int,
+      CASE WHEN seq % 3 = 1 THEN 'ev' END AS prefix, CASE WHEN seq % 3 = 0 THEN seq END AS number,
+      exchange, instrument FROM trades""",
+)
+def _(spark, sf):
+    """Rows of the shape with nested decimals and ids."""
+    rows = raw.conform_nested(views.nested_trades(spark, sf))
+    return rows.select(
+        micros("time").alias("time_us"), "seq", F.col("price.int").alias("price_int"),
+        F.col("price.scale").alias("price_scale"), F.col("amount.int").alias("amount_int"),
+        F.col("external_id.prefix").alias("prefix"),
+        F.col("external_id.numeric").cast("bigint").alias("number"), "exchange", "instrument",
+    )
+
+
 @query(
     "instrument_dim",
     f"""WITH {PAIRS_SQL} SELECT DISTINCT concat(base, '/', quote) AS instrument, base, quote
@@ -399,26 +452,31 @@ def _(spark, sf):
     "partition_runs",
     """WITH r AS (SELECT event_id // 1000 AS batch_id, event_id AS seq, epoch_us(ts) AS time_us,
       CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS exchange,
+      CASE event_id // 7 % 2 WHEN 0 THEN 'trades' ELSE 'quotes' END AS subject,
+      CASE WHEN user_id % 4 = 0 THEN 'src_ws' ELSE 'src_rest' END AS source, event_type || '/eur' AS instrument,
       epoch_us(ts) // 86400000000 AS d FROM events),
-    m AS (SELECT *, CASE WHEN lag(exchange) OVER w = exchange AND lag(d) OVER w = d THEN 0 ELSE 1 END AS new
+    m AS (SELECT *, CASE WHEN lag((exchange, subject, source, instrument, d)) OVER w = (exchange, subject, source, instrument, d)
+        THEN 0 ELSE 1 END AS new
       FROM r WINDOW w AS (PARTITION BY batch_id ORDER BY seq)),
     n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY batch_id ORDER BY seq) AS BIGINT) AS run FROM m)
-    SELECT batch_id, run, exchange, CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS day,
+    SELECT batch_id, run, subject, source, exchange, instrument,
+      CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS day,
       min(time_us) * 1000 AS first_time_ns, min(seq) AS first_seq, count(*) AS rows
-    FROM n GROUP BY batch_id, run, exchange, d""",
+    FROM n GROUP BY batch_id, run, subject, source, exchange, instrument, d""",
 )
 def _(spark, sf):
     records = views.trades(spark, sf).select(
         F.expr("seq div 1000").alias("batch_id"),
         "seq",
         "time_ns",
-        F.lit("trades").alias("subject"),
-        F.lit("src-rest").alias("source"),
+        views.pick(F.floor(F.col("seq") / 7) % 2, "trades", "quotes").alias("subject"),
+        "source",
         "exchange",
-        F.lit("btc/eur").alias("instrument"),
+        "instrument",
     )
     return runs.partition_runs(records).select(
-        "batch_id", "run", "exchange", F.col("day").cast("string").alias("day"),
+        "batch_id", "run", "subject", "source", "exchange", "instrument",
+        F.col("day").cast("string").alias("day"),
         "first_time_ns", "first_seq", "rows",
     )
 

@@ -187,6 +187,15 @@ def _(spark, sf):
     )
 
 
+@query("extrema_model")
+def _(spark, sf):
+    """No SQL: a model is trained. The tests check that it beats guessing."""
+    labeled = smooth.extrema_labels(series.cut(_series(spark, sf)), TIME_ORDER)
+    numbered = blocks.number_rows(labeled, MARKET, TIME_ORDER)
+    vectors = smooth.lag_vectors(numbered, ["p", "label"], 4)
+    return smooth.extrema_model(vectors, iterations=10, most=100_000)[1]
+
+
 # -- checks ----------------------------------------------------------------------------
 
 

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickloom import session
 
 
+# A dimension with more rows is joined by a shuffle.
+MOST_ROWS = 1_000_000
+
+
+def dimension(rows: DataFrame, label: str, most: int = MOST_ROWS) -> DataFrame:
+    """A settled table, broadcast if its rows, which are counted, are few."""
+    table = settle(rows, label)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def settle(rows: DataFrame, label: str) -> DataFrame:
     """Write rows to the shared folder and read them back.
 

@@ -14,6 +14,9 @@ from tickloom.schema import MARKET
 from tickloom.streaming import bars, book, ingest
 
 
+LATE = "1 hour"
+
+
 def _finish(stream) -> None:
     stream.awaitTermination()
 
@@ -40,13 +43,29 @@ def _(spark, sf):
     trades = views.stored(spark, sf, "flat_trades", views.trades)
     root = session.new_folder(spark, "bars")
     stream = spark.readStream.schema(schema.TRADES).parquet(trades)
-    closed = bars.stream_ohlc(stream, "1d", late="1 hour")
-    _finish(bars.write_ohlc(closed, f"{root}/bars", f"{root}/checkpoint"))
-    return spark.read.schema(closed.schema).parquet(f"{root}/bars").select(
+    _finish(bars.ingest_bars(stream, f"{root}/bars", f"{root}/checkpoint", "1d", LATE))
+    return bars.read_bars(spark, f"{root}/bars", LATE).where("closed").select(
         *MARKET, micros("bar").alias("bar_us"), "open", "high", "low", "close", "volume", "trades"
     )
 
 
+@query(
+    "stream_ohlc_late",
+    f"""WITH {TRADES_SQL} SELECT exchange, instrument, seq, time_us // 86400000000 * 86400000000 AS bar_us
+    FROM trades WHERE dayofmonth(make_timestamp(time_us)) = 3 AND seq % 10 = 0""",
+)
+def _(spark, sf):
+    """Trades of a day that land after later days were read: first without them, then with them."""
+    root = session.new_folder(spark, "late-bars")
+    rows = views.trades(spark, sf)
+    held = (F.dayofmonth("time") == 3) & (F.col("seq") % 10 == 0)
+    for part in (rows.where(~held), rows.where(held)):
+        part.write.mode("append").parquet(f"{root}/landed")
+        stream = spark.readStream.schema(schema.TRADES).parquet(f"{root}/landed")
+        _finish(bars.ingest_bars(stream, f"{root}/bars", f"{root}/checkpoint", "1d", LATE))
+    return bars.read_late(spark, f"{root}/bars").select(*MARKET, "seq", micros("bar").alias("bar_us"))
+
+
 def _markets(spark, sf, root, gaps=""):
     messages = views.messages(spark, sf)
     stored = spark.readStream.schema(messages.schema).parquet(views.message_folder(spark, sf))

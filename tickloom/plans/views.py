@@ -212,6 +212,22 @@ def stored_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of the older shape with nested decimals and ids."""
+    e, nothing = F.col("seq"), F.lit(None)
+    number = lambda c, s: F.struct(F.col(c).alias("value"), F.col(s).alias("scale"))
+    external = F.struct(
+        F.when(e % 3 == 0, e).alias("integer"),
+        F.when(e % 3 == 2, F.unhex(F.md5(e.cast("string")))).alias("uuid"),
+        F.when(e % 3 == 1, F.lit("ev")).otherwise(nothing).alias("string"),
+    )
+    return stored_trades(spark, sf_dir).select(
+        "time_ns", "seq", number("price", "price_scale").alias("price"),
+        number("amount", "amount_scale").alias("amount"), "side", "order", "extra_json",
+        external.alias("external_id"), "exchange", "instrument", "source",
+    )
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pair listing from ``nation``."""
     n, r = F.col("n_nationkey"), F.col("n_regionkey")

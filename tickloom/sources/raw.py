@@ -128,6 +128,36 @@ def conform(stored: DataFrame) -> DataFrame:
     )
 
 
+def conform_nested(stored: DataFrame) -> DataFrame:
+    """Trades of the nested older shape to the canonical schema.
+
+    ``price`` and ``amount`` are ``{value, scale}``, ``external_id`` is ``{integer, uuid, string}``
+    with one of the three set; a string id becomes the prefix.
+    """
+    time, given = timefmt.to_time(F.col("time_ns")), F.col("external_id")
+    number = lambda c: numbers.scaled(F.col(c)["value"].try_cast("bigint"), F.col(c)["scale"])
+    external = F.struct(
+        given["string"].alias("prefix"),
+        given["integer"].cast("decimal(20,0)").alias("numeric"),
+        given["uuid"].alias("uuid"),
+    )
+    return stored.select(
+        time.alias("time"),
+        "time_ns",
+        "seq",
+        number("price").alias("price"),
+        number("amount").alias("amount"),
+        "side",
+        "order",
+        F.nullif(F.col("extra_json"), F.lit("")).alias("extra_json"),
+        external.cast(schema.EXTERNAL_ID).alias("external_id"),
+        F.year(time).alias("year"),
+        "exchange",
+        symbols.from_path(F.col("instrument")).alias("instrument"),
+        "source",
+    )
+
+
 # -- dimensions ------------------------------------------------------------------------
 
 
