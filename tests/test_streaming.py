@@ -107,30 +107,26 @@ def test_bars_and_late_trades_hold_every_trade(spark, folder):
         stream_bars.ingest_bars(source, folder, folder, "2d")
 
 
-def test_stream_book_equals_batch(spark, folder):
+def test_stream_book_equals_batch_and_stays_small(spark, folder):
     messages = views.messages(spark, SF)
     levels, snapshots = views.levels(messages), views.snapshots(messages)
-    levels.repartition(4, "seq").write.parquet(f"{folder}/levels")
-    slim = messages.select("market_id", "seq", "kind")
-    slim.repartition(4, "seq").write.parquet(f"{folder}/messages")
-
-    def stream(name, like):
-        return (
-            spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1)
-            .parquet(f"{folder}/{name}")
-        )
-
-    states = {
-        "levels": stream_book.level_state(stream("levels", levels)),
-        "messages": stream_book.market_state(stream("messages", slim)),
-    }
-    for name, state in states.items():
-        query = stream_book.keep_changes(state, f"{folder}/kept-{name}", f"{folder}/check-{name}")
-        query.awaitTermination(300)
-        assert query.exception() is None
-    got = stream_book.read_book(spark, f"{folder}/kept-levels", f"{folder}/kept-messages")
+    messages.repartition(4, "seq").write.parquet(f"{folder}/messages")  # out of order
+    stream = (
+        spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/messages")
+    )
+    parts = lambda batch: (views.levels(batch), views.snapshots(batch))
+    query = stream_book.ingest_book(stream, parts, f"{folder}/book", f"{folder}/checkpoint")
+    query.awaitTermination(300)
+    assert query.exception() is None
     want = book.book_full(levels, snapshots)
-    assert same(got.select(*want.columns), want)
+    assert same(stream_book.read_book(spark, f"{folder}/book").select(*want.columns), want)
+    assert stream_book._batches(spark, f"{folder}/book") == [2, 3]
+    last = snapshots.groupBy("market_id").agg(F.max("seq").alias("start"))
+    live = levels.join(last, "market_id").where("seq >= start").select("market_id", "side", "price").distinct()
+    assert spark.read.parquet(f"{folder}/book/levels/3").count() == live.count()
+    # A batch that is repeated starts from the table before it.
+    stream_book.add_batch(*parts(spark.read.parquet(f"{folder}/messages")), 3, f"{folder}/book")
+    assert same(stream_book.read_book(spark, f"{folder}/book").select(*want.columns), want)
 
 
 def test_missing_numbers_in_a_stream(spark):

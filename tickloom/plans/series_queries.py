@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import numbers
 from tickloom.operators import bars, series, smooth, stats
 from tickloom.plans import blocks, views
 from tickloom.plans.settle import settle
@@ -201,12 +202,23 @@ def _(spark, sf):
 
 @query(
     "scale_check",
-    f"""WITH {TRADES_SQL} SELECT exchange, instrument, CAST(2 AS INTEGER) AS price_scale_min,
-      CAST(2 AS INTEGER) AS price_scale_max, CAST(0 AS INTEGER) AS amount_scale_min,
-      CAST(0 AS INTEGER) AS amount_scale_max, true AS constant FROM trades GROUP BY 1, 2""",
+    f"""WITH {TRADES_SQL}, s AS (SELECT exchange, instrument, CASE WHEN exchange = 'beta' AND seq % 3 = 0 THEN 5
+        ELSE 2 END AS p, CASE WHEN instrument = 'view/eur' AND seq % 5 = 0 THEN 1 ELSE 0 END AS a FROM trades)
+    SELECT exchange, instrument, CAST(min(p) AS INTEGER) AS price_scale_min,
+      CAST(max(p) AS INTEGER) AS price_scale_max, CAST(min(a) AS INTEGER) AS amount_scale_min,
+      CAST(max(a) AS INTEGER) AS amount_scale_max, min(p) = max(p) AND min(a) = max(a) AS constant
+    FROM s GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return series.scale_check(views.trades(spark, sf))
+    """Some markets change their scales."""
+    e = F.col("seq")
+    odd_price = (F.col("exchange") == "beta") & (e % 3 == 0)
+    odd_amount = (F.col("instrument") == "view/eur") & (e % 5 == 0)
+    rows = views.trades(spark, sf)
+    rows = rows.withColumn("price", numbers.scaled(F.col("price.int"), F.when(odd_price, 5).otherwise(2)))
+    return series.scale_check(
+        rows.withColumn("amount", numbers.scaled(F.col("amount.int"), F.when(odd_amount, 1).otherwise(0)))
+    )
 
 
 @query(

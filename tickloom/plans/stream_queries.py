@@ -77,12 +77,14 @@ def _markets(spark, sf, root, gaps=""):
 
 @query("stream_book_full", f"WITH {BOOK_SQL} SELECT market_id, side, price, amount FROM book")
 def _(spark, sf):
+    """Four files of messages in each micro-batch."""
     root = session.new_folder(spark, "book")
     messages = views.messages(spark, sf)
-    stream = spark.readStream.schema(messages.schema).parquet(views.message_folder(spark, sf))
-    state = book.level_state(views.levels(stream))
-    _finish(book.keep_changes(state, f"{root}/levels", f"{root}/check-levels"))
-    return book.read_book(spark, f"{root}/levels", _markets(spark, sf, root))
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 4)
+    stream = stream.parquet(views.message_folder(spark, sf))
+    parts = lambda batch: (views.levels(batch), views.snapshots(batch))
+    _finish(book.ingest_book(stream, parts, f"{root}/book", f"{root}/checkpoint"))
+    return book.read_book(spark, f"{root}/book")
 
 
 @query(

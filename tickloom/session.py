@@ -13,7 +13,6 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 _local_scratch: dict[str, str] = {}

@@ -9,14 +9,19 @@ fit Spark's limit for one binary value (2 GB); capture to many files for paralle
 from __future__ import annotations
 
 import io
+import sys
 from collections.abc import Iterator
 from itertools import count
 from typing import BinaryIO
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Executors get the functions below with the job; they need no copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEAD, TAIL = 2, 4
 FRAMES_PER_BATCH = 10_000
 UNPACK_BYTES = 1 << 20
