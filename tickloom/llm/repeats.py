@@ -27,7 +27,7 @@ WINDOW, PIECE, LONGEST = 50, 16, 64
 BLOCK, SHARD = 4 << 20, 16 << 20
 
 #: Segment bytes that are indexed together.
-INDEX = 6 << 20
+INDEX = 1 << 20
 
 #: Sorts after every document; the id of rows without one.
 NO_ID = (1 << 63) - 1
@@ -173,11 +173,12 @@ class RunIndex:
         window = np.zeros(n, np.int64)
         pair = half[there] * np.uint64(n + 1) + half[there + WINDOW - 32]
         window[there] = RunIndex._rank(pair).astype(np.int64)
-        return np.argsort(rank, kind="stable"), window
+        # Equal ends of segments: in the segments' order.
+        return np.argsort(rank * np.uint64(n + 1) + np.arange(n, dtype=np.uint64)), window
 
     @staticmethod
     def _rank(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         fresh = np.zeros(len(keys), np.uint64)
         fresh[1:] = keys[order[1:]] != keys[order[:-1]]
         out = np.empty(len(keys), np.uint64)
@@ -299,12 +300,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     2. Each block deals the values of its segments out to shards, which answer which of them
        several documents have.
     3. Each block sends the distinct segments with such values, and the smallest document of each,
-       to their shards. A shard indexes them (``RunIndex``), reads them through the index, and
-       answers with the smallest document of every window.
+       to their shards. A shard indexes those whose value several distinct segments have
+       (``RunIndex``), reads them through the index, and answers with the smallest document of
+       every window.
     4. Each block marks the windows whose smallest document is smaller than their own.
 
     A passage in very many documents comes to its shard once from each block, and a shard indexes
-    its segments in portions of about 6 MB that hold a value's segments together. Null texts count
+    its segments in portions of about 1 MB that hold a value's segments together. Null texts count
     as empty. Null ids come after all others and do not mark each other. Equal ids do not mark
     each other either. Only the two named columns are read.
     """
@@ -380,9 +382,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 index.append(place)
                 at += length
             sent.append((row["block"], row["shard"], flags, np.array(index)))
-        texts, docs_of = list(known), np.array(least, np.int64)
-        order = np.lexsort((docs_of, np.array(value_of, np.uint64)))
-        found: list[np.ndarray | None] = [None] * len(texts)
+        texts, docs_of, values_of = list(known), np.array(least, np.int64), np.array(value_of, np.uint64)
+        # All copies of a window are in segments of one value. If that is one segment, which may
+        # have many copies, there is nothing to search.
+        _, same, number = np.unique(values_of, return_inverse=True, return_counts=True)
+        found = [None] * len(texts)
+        for i in np.flatnonzero(number[same] == 1).tolist():
+            found[i] = np.full(len(texts[i]) - WINDOW + 1, docs_of[i])
+        searched = np.flatnonzero(number[same] > 1)
+        order = searched[np.lexsort((docs_of[searched], values_of[searched]))]
         sizes = np.cumsum([len(texts[i]) for i in order])
         portion = 0
         while portion < len(order):
