@@ -217,7 +217,12 @@ def first_documents(parts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 def _pack(rows: DataFrame) -> DataFrame:
     """Blocks of documents: (block, ids, sizes, text), the text compressed."""
     schema = pa.schema(
-        [("block", pa.string()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("text", pa.binary())]
+        [
+            ("block", pa.string()),
+            ("ids", pa.list_(pa.int64())),
+            ("sizes", pa.list_(pa.int64())),
+            ("text", pa.binary()),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +327,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for row in batch.to_pylist():
                 ids, sizes, data = _open(row)
-                out = [
-                    {"shard": shard, "block": row["block"], "data": _join(_press(np.diff(values, prepend=np.uint64(0))), np.packbits(several).tobytes())}
-                    for shard, values, several in _by_shard(segments(data, sizes), ids, shards)
-                ]
+                out = []
+                for shard, values, several in _by_shard(segments(data, sizes), ids, shards):
+                    steps = _press(np.diff(values, prepend=np.uint64(0)))
+                    packed = _join(steps, np.packbits(several).tobytes())
+                    out.append({"shard": shard, "block": row["block"], "data": packed})
                 yield from _dealt(out).to_batches()
 
     def compare(table: pa.Table) -> pa.Table:
@@ -358,7 +364,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 value = np.zeros(len(texts), np.uint64)
                 value[index] = found.value[mine]
                 lengths = np.array([len(t) for t in texts], np.int32)
-                packed = _join(bits[shard], _press(lengths), _press(least), _press(value), _press(np.frombuffer(b"".join(texts), np.uint8)))
+                body = np.frombuffer(b"".join(texts), np.uint8)
+                packed = _join(bits[shard], *map(_press, (lengths, least, value, body)))
                 out.append({"shard": shard, "block": row["block"], "data": packed})
         return _dealt(out)
 
@@ -371,8 +378,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             flags, lengths, docs_of, values, body = _split(row["data"], 5)
             body = _unpress(body, "u1").tobytes()
             at, index = 0, []
-            parts = zip(_unpress(lengths, "i4").tolist(), _unpress(docs_of, "i8").tolist(), _unpress(values, "u8").tolist(), strict=True)
-            for length, doc, value in parts:
+            columns = (_unpress(lengths, "i4"), _unpress(docs_of, "i8"), _unpress(values, "u8"))
+            for length, doc, value in zip(*(c.tolist() for c in columns), strict=True):
                 place = known.setdefault(body[at : at + length], len(known))
                 if place == len(least):
                     least.append(doc)
@@ -408,7 +415,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return _dealt(out)
 
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
+    result = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("n_bytes", pa.int64()),
+            ("spans", pa.list_(span)),
+            ("kept", pa.binary()),
+        ]
+    )
 
     def mark(block: pa.Table, answers: pa.Table) -> pa.Table:
         replies = {row["shard"]: _split(row["data"], 2) for row in answers.to_pylist()}
@@ -418,14 +432,16 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             covered = np.zeros(len(data) + 1, np.int64)
             found = segments(data, sizes) if replies else None
             bits = {shard: flags for shard, (flags, _) in replies.items()}
-            for shard, texts, index, mine in _strings(data, found, *_chosen(found, ids, shards, bits)) if replies else ():
+            groups = _strings(data, found, *_chosen(found, ids, shards, bits)) if replies else ()
+            for shard, texts, index, mine in groups:
                 firsts = np.cumsum(_unpress(replies[shard][1], "i8"))
                 numbers = np.array([len(t) - WINDOW + 1 for t in texts], np.int64)
                 starts = np.cumsum(numbers) - numbers
                 size = found.number[mine]
                 step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 first = firsts[np.repeat(starts[index], size) + step]
-                windows = (np.repeat(found.start[mine], size) + step)[first < np.repeat(ids[found.owner[mine]], size)]
+                later = first < np.repeat(ids[found.owner[mine]], size)
+                windows = (np.repeat(found.start[mine], size) + step)[later]
                 np.add.at(covered, windows, 1)
                 np.add.at(covered, windows + WINDOW, -1)
             gone = np.cumsum(covered[:-1]) > 0
@@ -434,7 +450,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = gone[at : at + size]
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], part, [False])).astype(np.int8)))
                 spans = [{"start": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()]
-                out.append({"doc_id": own, "n_bytes": size, "spans": spans, "kept": data[at : at + size][~part].tobytes()})
+                kept = data[at : at + size][~part].tobytes()
+                out.append({"doc_id": own, "n_bytes": size, "spans": spans, "kept": kept})
                 at += size
         return pa.Table.from_pylist(out, result)
 

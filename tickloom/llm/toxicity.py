@@ -90,13 +90,15 @@ def train(
     batch: int = 64,
     seed: int = 1,
 ) -> Model:
-    """Fit embeddings and softmax together by Adagrad on the cross entropy.
+    """Fit embeddings and softmax together on the cross entropy, by plain gradient steps for the
+    embeddings (so rare n-grams stay weak) and Adagrad for the softmax.
 
     A text is cut into windows of ``WINDOW`` words. A window's vector is the average over its words
     of the average over a word's n-grams; words that the last window lacks count as zero. A text
     is as toxic as its most toxic window, so each epoch learns from the windows that are highest
     under the model so far (in the first, from random ones), or one abusive word would vanish
-    among thousands. Few texts are gone through more often. Without labels of both kinds the model answers with their share.
+    among thousands. Few texts are gone through more often. Without labels of both kinds the model
+    answers with their share.
     """
     split = [words_of(text) for text in texts]
     filled = [i for i, words in enumerate(split) if words]
