@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,29 @@ def table_keys(sketch: DataFrame) -> DataFrame:
     return sketch.select(F.col("doc_id").alias("id"), F.explode(pairs).alias("key"))
 
 
+def _rarest(sets: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Rows (shingle, id, size, root, place) of the rarest shingles of the pool's sets.
+
+    Two sets that reach the similarity share a shingle among the first size - percent % of size
+    (rounded up) + 1 of either, in any common order; rare ones first makes such meetings few. ``place``
+    counts from 0. Shingles that no other set of the pool has can meet nothing and are left out.
+    """
+    size, shingle = F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")
+    each = sets.join(pool, "id").select("id", "root", size, shingle)
+    each = with_group(each, "shingle", "id", "n", F.lit(1), lambda c: F.sum(c.cast("long")), "shingles")
+    order = Window.partitionBy("id").orderBy("n", "shingle")
+    placed = each.withColumn("place", F.row_number().over(order) - 1)
+    needed = F.ceil(F.col("size") * percent / F.lit(100.0))
+    return placed.where((F.col("place") <= F.col("size") - needed) & (F.col("n") > 1)).drop("n")
+
+
+def _possible(percent: int) -> Column:
+    """Whether sets x and y that meet first at this shingle can reach the similarity: their
+    intersection holds it and what comes behind it in either."""
+    most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    return 100 * most >= percent * (F.col("x.size") + F.col("y.size") - most)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
@@ -137,10 +160,12 @@ def near_groups(
     1. Equal sets are one class, represented by its smallest id; only classes go on.
     2. Table keys of the classes meet; a key that only one class has is dropped.
     3. In each table's bucket the class that meets most others leads. Each class is verified
-       against its best leader, then against the other leaders that are not in its component yet.
-    4. What is left are buckets that hold several components. There all pairs of different
-       components that were not verified before are verified, so no candidate is passed over.
-       Pairs inside one component can add nothing and are never formed.
+       against its best leader, then against the other leaders that are not in its group yet.
+    4. What is left are classes in buckets that hold several components: texts that share a
+       passage, or copies changed too much for their leader. These are joined exactly: sets that
+       reach the similarity share one of their rarest shingles, and where they meet first bounds
+       how much they can share. Pairs of different components that pass are verified, so no
+       candidate is passed over; pairs inside one component can add nothing and are not formed.
 
     Shuffles of keys that may be hot (copies, buckets, leaders, components) are salted. Texts
     without words link with nothing. Rows with a null id form no links and are kept. Rows that
@@ -157,27 +182,24 @@ def near_groups(
     # A key is met by its classes' salts, so that the rows of a hot bucket stay spread.
     crowd = with_group(keys, "key", "id", "n", F.lit(1), lambda c: F.sum(c.cast("long")), "tables")
     crowd = settle(crowd.where("n > 1").select("id", "key", "n"), "buckets")
-    ranked = settle(
-        crowd.groupBy("id").agg(F.sum("n").alias("score")).join(crowd, "id").select("id", "key", "score"),
-        "ranked",
-    )
-    rank = F.struct(F.col("score"), (-F.col("id")).alias("id"))
-    led = with_group(ranked, "key", "id", "leader", rank, F.max)
-    led = led.select("id", "key", (-F.col("leader.id")).alias("leader"), F.col("leader.score").alias("rank"))
-    led = settle(led, "led")
-    sets = settle(
-        shingle_sets(docs, crowd.select("id").distinct(), size, id_col, text_col), "sets"
-    )
-    best = (
-        led.groupBy("id")
-        .agg(F.max(F.struct("rank", (-F.col("leader")).alias("leader"))).alias("best"))
-        .select((-F.col("best.leader")).alias("a"), F.col("id").alias("b"))
-        .where("a <> b")
-    )
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    tried = settle(best.select("a", "b"), "first-pairs")
+    sets = settle(shingle_sets(docs, crowd.select("id").distinct(), size, id_col, text_col), "sets")
+    ranked = crowd.groupBy("id").agg(F.sum("n").alias("score")).join(crowd, "id")
+    ranked = settle(ranked.select("id", "key", "score"), "ranked")
+    rank = F.struct("score", (-F.col("id")).alias("id"))
+    led = with_group(ranked, "key", "id", "first", rank, F.max)
+    leader = (-F.col("first.id")).alias("leader")
+    led = settle(led.select("id", "key", leader, F.col("first.score").alias("rank")), "led")
+    led_pairs = led.where("id <> leader")
+    best = led_pairs.groupBy("id").agg(F.max(F.struct("rank", (-F.col("leader")).alias("leader"))).alias("best"))
+    tried = settle(best.select((-F.col("best.leader")).alias("a"), F.col("id").alias("b")), "first-pairs")
     links = settle(verified(tried, sets, percent), "first-links")
-    roots = components(links)
+    # Each class is linked to one leader at most: its leader's leader names its group well enough
+    # to leave out most pairs inside a component.
+    led_by = links.select(F.col("b").alias("node"), F.col("a").alias("up"))
+    higher = led_by.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    roots = settle(
+        lookup(led_by, "up", "node", higher).select("node", F.coalesce("top", "up").alias("root")), "leaders"
+    )
 
     def rooted(rows: DataFrame, name: str, root: str) -> DataFrame:
         named = roots.select(F.col("node").alias(name), F.col("root").alias(root))
@@ -185,7 +207,7 @@ def near_groups(
             root, F.coalesce(root, name)
         )
 
-    second = rooted(rooted(led.select("id", "key", "leader"), "id", "ra"), "leader", "rb")
+    second = rooted(rooted(led_pairs.select("id", "key", "leader"), "id", "ra"), "leader", "rb")
     second = (
         second.where("ra <> rb")
         .select(F.col("leader").alias("a"), F.col("id").alias("b"))
@@ -195,6 +217,7 @@ def near_groups(
     second = settle(second, "second-pairs")
     links = settle(links.unionByName(verified(second, sets, percent)), "second-links")
     roots = components(links)
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tried = settle(tried.unionByName(second).select(*ordered).distinct(), "tried")
 
     mixed = settle(rooted(led.select("id", "key"), "id", "root"), "rooted")
@@ -204,16 +227,25 @@ def near_groups(
         .where("low <> high AND n > 2")  # of two classes, one led the other and is verified
         .select("key")
     )
-    mixed = settle(mixed.join(several, "key"), "mixed")
+    pool = settle(mixed.join(several, "key").select("id", "root").distinct(), "mixed")
+    rare = settle(_rarest(sets, pool, percent), "rarest")
     rest = (
-        mixed.alias("x")
-        .join(mixed.alias("y"), F.expr("x.key = y.key AND x.root < y.root"))
+        rare.alias("x")
+        .join(rare.alias("y"), F.expr("x.shingle = y.shingle AND x.root < y.root") & _possible(percent))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    links = settle(links.unionByName(verified(settle(rest, "rest"), sets, percent)), "links")
-    roots = components(links).select(F.col("node").alias("id"), "root")
+    links = settle(verified(settle(rest, "rest"), sets, percent), "links")
+    if not links.isEmpty():  # the last links tie whole components together
+        ends = rooted(links.select(F.col("a").alias("id"), F.col("b").alias("key")), "id", "ra")
+        ends = rooted(ends.select("ra", F.col("key").alias("id")).withColumn("key", F.col("ra")), "id", "rb")
+        joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        tops = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        # A component's own smallest member is in no row of roots, but may be tied to a smaller one.
+        roots = lookup(roots, "root", "node", tops).select("node", F.coalesce("top", "root").alias("root"))
+        roots = settle(roots.unionByName(joined).distinct(), "roots")
+    roots = roots.select(F.col("node").alias("id"), "root")
 
     found = lookup(classed.select("doc_id", "n_shingles", "id"), "id", "doc_id", roots).select(
         "doc_id", "n_shingles", F.coalesce("root", "id").alias("component_id")
