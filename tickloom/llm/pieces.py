@@ -123,16 +123,19 @@ def search(text: str, vocabulary: Vocabulary) -> Iterator[list[int]]:
             if common > base:
                 yield _committed(back, base, common)
                 base, back = common, [(common, ()), *back[common - base + 1 :]]
-        follow, end, single = trie, at, False
-        while end < n:
-            hit = follow.get(text[end])
-            if hit is None:
-                break
+        follow, end = trie, at
+        hit = follow.get(text[at])
+        single = hit is not None and hit[0] is not None
+        while hit is not None:
             end += 1
             piece, follow = hit
             if piece is not None:
-                single = single or end == at + 1
-                _reach(back, costs, ring, base, at, end, here + piece[0], piece[1])
+                cost = here + piece[0]
+                if end - base >= len(back):
+                    _reach(back, costs, ring, base, at, end, cost, piece[1])
+                elif cost < costs[end % ring]:
+                    back[end - base], costs[end % ring] = (at, piece[1]), cost
+            hit = follow.get(text[end]) if end < n else None
         if not single:
             ids = vocabulary.spelled(text[at])
             _reach(back, costs, ring, base, at, at + 1, here + vocabulary.unknown_cost, ids)
