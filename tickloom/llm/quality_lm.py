@@ -47,10 +47,10 @@ def _grams(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         part = units[k : len(units) - ORDER + 1 + k].astype(np.uint64)
         codes |= part << np.uint64(16 * (ORDER - 1 - k))
     starts = np.cumsum(sizes + len(PAD)) - sizes - len(PAD)
-    edges = np.zeros(len(units) + 1, np.int64)
+    edges = np.zeros(len(units) + 1, np.int8)  # sums of these are 0 or 1
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + sizes, -1)
-    return codes[np.cumsum(edges)[: len(codes)] > 0].view(np.int64)
+    return codes[np.cumsum(edges, dtype=np.int8)[: len(codes)] > 0].view(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[list]]:
@@ -94,9 +94,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, roles in _chunks(batches, 0):
             units, sizes = _units(texts)
-            grams, places = np.unique(_grams(units, sizes), return_inverse=True)
-            counted = np.repeat(np.array([role == 1 for role in roles]), sizes)
-            counts = np.bincount(places[counted], minlength=len(grams))
+            codes = _grams(units, sizes)
+            trusted = codes[np.repeat(np.array([role == 1 for role in roles]), sizes)]
+            grams = np.unique(codes)
+            counts = np.zeros(len(grams), np.int64)
+            found, times = np.unique(trusted, return_counts=True)
+            counts[np.searchsorted(grams, found)] = times
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "c"])
 
     found = rows.select("text", "role").mapInArrow(run, "gram long, c long")
@@ -189,7 +192,10 @@ def _packed(rows: DataFrame) -> DataFrame:
             ("grams", pa.binary()),
         ]
     )
-    kind = "block string, ids array<long>, langs array<string>, roles array<int>, sizes array<long>, units binary, grams binary"
+    kind = (
+        "block string, ids array<long>, langs array<string>, roles array<int>, sizes array<long>, "
+        "units binary, grams binary"
+    )
     part = F.spark_partition_id().alias("part")
     return rows.select(part, F.col("doc_id").cast("long"), "lang", "text", "role").mapInArrow(run, kind)
 
@@ -228,15 +234,23 @@ def scores(rows: DataFrame, logs: DataFrame) -> DataFrame:
             places = np.searchsorted(grams, codes)
             if len(codes) and not np.array_equal(grams[np.minimum(places, len(grams) - 1)], codes):
                 raise RuntimeError("an n-gram of the texts has no probability")
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            cost = -np.bincount(owner, weights=logp[places], minlength=len(sizes))
+            cost, filled = np.zeros(len(sizes)), sizes > 0
+            if filled.any():
+                starts = (np.cumsum(sizes) - sizes)[filled]
+                cost[filled] = -np.add.reduceat(logp[places], starts)
             out.append(
                 pa.table([row["ids"], row["langs"], row["roles"], sizes, cost], schema=result)
             )
         return pa.concat_tables(out) if out else result.empty_table()
 
     result = pa.schema(
-        [("doc_id", pa.int64()), ("lang", pa.string()), ("role", pa.int32()), ("n_chars", pa.int64()), ("cost", pa.float64())]
+        [
+            ("doc_id", pa.int64()),
+            ("lang", pa.string()),
+            ("role", pa.int32()),
+            ("n_chars", pa.int64()),
+            ("cost", pa.float64()),
+        ]
     )
     kind = "doc_id long, lang string, role int, n_chars long, cost double"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, kind)
@@ -246,7 +260,8 @@ def thresholds(scored: DataFrame, quantile: float = 0.99, margin: float = 2.0, l
     """Rows (lang, threshold): ``margin`` times the quantile of the perplexity of the trusted
     documents that were not counted. Languages with fewer than ``least`` of them (and null) take
     the quantile over all languages."""
-    kept_out = scored.where("role = 2 AND n_chars > 0").withColumn("perplexity", F.exp(F.col("cost") / F.col("n_chars")))
+    perplexity = F.exp(F.col("cost") / F.col("n_chars"))
+    kept_out = scored.where("role = 2 AND n_chars > 0").withColumn("perplexity", perplexity)
     at = F.percentile_approx("perplexity", quantile, 10_000)
     overall = kept_out.agg(at).first()[0]
     own = kept_out.groupBy("lang").agg(at.alias("at"), F.count("*").alias("n"))
@@ -271,8 +286,8 @@ def classify(
     3. Each document gets its perplexity, and is kept up to its language's threshold.
 
     Null and empty texts have no perplexity and are not kept. Without trusted documents nothing
-    has a threshold, and every text with a character is kept. Rows that repeat an id are scored one by one. Only the
-    three named columns are read.
+    has a threshold, and every text with a character is kept. Rows that repeat an id are scored
+    one by one. Only the three named columns are read.
     """
     rows = marked(docs, trusted, id_col, text_col, lang_col)
     counts = settle(gram_counts(rows), "grams")
