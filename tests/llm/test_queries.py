@@ -49,6 +49,15 @@ def test_op1_on_labels(spark):
     assert by[(0, False)] > 0.7 * (by[(0, False)] + by.get((0, True), 0))
 
 
+def test_op1_errors_of_both_kinds(spark):
+    sf = "/root/testdata/sf0.1"
+    found = queries.QUERIES["op1_quality_classifier"](spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
+    by = {(r.quality, r.kept): r["count"] for r in found.join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert by.get((1, False), 0) <= 0.01 * (by[(1, True)] + by.get((1, False), 0))
+    assert by.get((0, True), 0) <= 0.12 * (by[(0, False)] + by.get((0, True), 0))
+
+
 def test_pipeline_against_plain_stages(spark):
     rows = duckdb.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet'").fetchall()
     docs = {i: (text, source) for i, text, source in rows if brute.passes(text)}

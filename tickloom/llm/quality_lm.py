@@ -256,19 +256,28 @@ def scores(rows: DataFrame, logs: DataFrame) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, kind)
 
 
-def thresholds(scored: DataFrame, quantile: float = 0.99, margin: float = 2.0, least: int = 20) -> DataFrame:
-    """Rows (lang, threshold): ``margin`` times the quantile of the perplexity of the trusted
-    documents that were not counted. Languages with fewer than ``least`` of them (and null) take
-    the quantile over all languages."""
+def thresholds(scored: DataFrame, quantile: float = 0.99, least: int = 20) -> DataFrame:
+    """Rows (lang, threshold): the quantile of the perplexity of the trusted documents that were
+    not counted. Languages with fewer than ``least`` of them (and null) take the quantile over all
+    languages.
+
+    With fewer than 1 / (1 - quantile) documents the quantile is no more than their largest value,
+    which lies below it. It is then carried on from the median and that value as if the
+    logarithm of the share above grew evenly.
+    """
     perplexity = F.exp(F.col("cost") / F.col("n_chars"))
     kept_out = scored.where("role = 2 AND n_chars > 0").withColumn("perplexity", perplexity)
-    at = F.percentile_approx("perplexity", quantile, 10_000)
+    high = F.percentile_approx("perplexity", quantile, 10_000)
+    middle = F.percentile_approx("perplexity", 0.5, 10_000)
+    enough, n = 1 / (1 - quantile), F.greatest(F.count("*"), F.lit(3))
+    further = (high - middle) * F.greatest(F.log(enough / n), F.lit(0.0)) / F.log(n / 2)
+    at = (high + further).alias("at")
     overall = kept_out.agg(at).first()[0]
-    own = kept_out.groupBy("lang").agg(at.alias("at"), F.count("*").alias("n"))
+    own = kept_out.groupBy("lang").agg(at, F.count("*").alias("n"))
     langs = scored.groupBy("lang").agg(F.count("*").alias("docs"))
     found = langs.alias("l").join(own.alias("o"), F.expr("l.lang <=> o.lang"), "left")
     value = F.when((F.col("n") >= least) & F.col("l.lang").isNotNull(), F.col("at")).otherwise(F.lit(overall))
-    return found.select("l.lang", (value * margin).alias("threshold"))
+    return found.select("l.lang", value.alias("threshold"))
 
 
 def classify(
