@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import exact, minhash, mixing, pieces, rules
-from tickloom.llm.columns import settle
+from tickloom.llm.columns import ascii_lower, settle
 from tickloom.llm.queries import VOCABULARY, documents
 
 ORACLE_SQL = None
@@ -25,6 +25,22 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_chosen")), "left_semi")
 
 
+def _unique(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own in ``_row``, written so that it stays the same."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _firsts(numbered: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_sha256, _row): one row for each id and text, null a value."""
+    text = ascii_lower(F.coalesce("text", F.lit("")))
+    keys = numbered.select("doc_id", F.sha2(text, 256).alias("text_sha256"), "_row")
+    return keys.groupBy("doc_id", "text_sha256").agg(F.min("_row").alias("_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a rule go."""
     judged = rules.apply_rules(docs)
@@ -33,23 +49,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest id stays."""
-    groups = exact.exact_groups(docs)
-    return _keep(docs, groups.where("kept").select("doc_id"))
+    if _unique(docs):
+        return _keep(docs, exact.exact_groups(docs).where("kept").select("doc_id"))
+    numbered = _numbered(docs)
+    kept = exact.exact_groups(numbered).where("kept").select("doc_id", "text_sha256").distinct()
+    same = "f.doc_id <=> k.doc_id AND f.text_sha256 = k.text_sha256"
+    rows = _firsts(numbered).alias("f").join(kept.alias("k"), F.expr(same), "left_semi").select("_row")
+    return numbered.join(rows, "_row", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by 80 % of their shingles of five words, the one with the smallest id stays."""
-    groups = minhash.near_groups(docs, size=5, percent=80)
-    return _keep(docs, groups.where("kept").select("doc_id"))
+    if _unique(docs):
+        return _keep(docs, minhash.near_groups(docs, size=5, percent=80).where("kept").select("doc_id"))
+    # Texts that share an id get ids of their own, in the same order; null ids stay null.
+    numbered = _numbered(docs)
+    ordered = _firsts(numbered).orderBy("doc_id", "text_sha256")
+    own = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("_own")
+    rows = settle(numbered.join(settle(ordered.select("_row", own), "own-ids"), "_row"), "one-each")
+    groups = minhash.near_groups(rows, size=5, percent=80, id_col="_own")
+    kept = groups.where("kept").select(F.col("doc_id").alias("_chosen"))
+    kept = kept.where("_chosen IS NOT NULL").distinct()
+    found = rows.join(kept, F.col("_own") == F.col("_chosen"), "left_semi")
+    return found.unionByName(rows.where("_own IS NULL")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its source asks for, three times at most."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"))
-    copies = copies.agg(F.max("copies").alias("copies"))  # one row, should an id be repeated
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    rows = taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return rows.select(*docs.columns)
+    key = "doc_id"
+    if _unique(docs):
+        rows, copies = docs, mixing.mix(docs)
+    else:
+        key, rows = "_row", _numbered(docs)
+        copies = mixing.mix(rows, carry=["_row"])
+    copies = copies.where("copies > 0").select(F.col(key).alias("_taken"), "copies")
+    copies = copies.withColumnRenamed("copies", "_copies")
+    taken = rows.join(copies, F.col(key).eqNullSafe(F.col("_taken")))
+    each = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
+    return taken.select(*docs.columns, each).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.compare import connect, differences
 from tests.llm import brute
-from tickloom.llm import pieces, queries
+from tickloom.llm import mixing, pieces, queries
 
 SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
@@ -88,3 +88,29 @@ def test_pipeline_odd_rows(make, spark):
         docs, empty = stage(spark, docs, SF), stage(spark, empty, SF)
     assert empty.count() == 0
     assert {r.doc_id for r in docs.collect()} <= {3, 4}
+
+
+def test_pipeline_repeated_rows(make, spark):
+    one = " ".join(f"one{i} of" for i in range(40))
+    two = " ".join(f"two{i} of" for i in range(40))
+    near = two.replace("two7 ", "other ")
+    rows = [(3, one, "en", "a")] * 3 + [(5, two, "en", "a")] * 2 + [(5, near, "en", "a"), (7, one, "en", "a"), (8, "short", "en", "b")]
+    rows += [(None, "of none", "en", "a")] * 2
+    docs = make(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    exact = corpus_pipeline.exact_dedup(spark, docs, SF)
+    found = sorted(((r.doc_id, r.text) for r in exact.collect()), key=str)
+    assert found == sorted([(7, one), (5, two), (5, near), (8, "short"), (None, "of none")], key=str)
+    left = corpus_pipeline.near_dedup(spark, exact, SF).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["5", "7", "8", "None"]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.where("doc_id = 3"), SF).collect()) == [3]
+
+
+def test_pipeline_mixes_repeated_rows(make, spark):
+    rows = [(1, "a b c", "en", "a")] * 4 + [(2, "d e f", "en", "b")] * 4
+    docs = make(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    goal = {r.doc_id: r.copies for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect()}
+    found = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert found.columns == docs.columns
+    by = {r.doc_id: r["count"] for r in found.groupBy("doc_id").count().collect()}
+    assert by == {i: n for i, n in goal.items() if n}
+    assert sum(by.values()) in (7, 8, 9)

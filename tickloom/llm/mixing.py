@@ -70,8 +70,10 @@ def mix(
     weights: Sequence[int] = (1, 2, 3),
     most: int = MOST_COPIES,
     seed: int = 7,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken.
+    """One row per document: doc_id, size, source_size, target, copies, taken, and the columns
+    named in ``carry``.
 
     A document's expected number of copies is its source's target over its source's size. Inside
     a source the expectations are summed up along the documents, one random offset is added, and a
@@ -85,13 +87,14 @@ def mix(
 
     Null text: size 0. Null source: a source of its own. Sizes of 0 are never counted as words
     but may be emitted. Rows that repeat an id are documents of their own. An empty table gives
-    an empty result. Only the three named columns are read.
+    an empty result. Only the named columns are read.
     """
     sizes = settle(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -101,7 +104,7 @@ def mix(
         sizes.withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("doc_id", "source", "size", place.alias("place"))
+        .select("doc_id", "source", "size", *carry, place.alias("place"))
         .withColumn("part", F.shiftright("place", 33)),
         "mix-order",
     )
@@ -125,6 +128,6 @@ def mix(
     return (
         ordered.alias("o")
         .join(plan.alias("p"), F.expr("o.source <=> p.source AND o.part = p.part"))
-        .select("doc_id", "size", "source_size", "target", copies.alias("copies"))
+        .select("doc_id", "size", "source_size", "target", copies.alias("copies"), *carry)
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
