@@ -1,6 +1,7 @@
 import binascii
 import json
 import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,19 @@ def test_capture_to_book(parsed):
     # Before the delta the snapshot stands alone.
     early = book.book_full(levels, snapshots, until=F.lit(5))
     assert early.count() == 3
+
+
+def test_prices_with_exponents(spark):
+    wanted = {
+        "1e-8": "0.00000001", "2.5E3": "2500", "-12e+1": "-120", ".5e1": "5", "0e99": "0", "100e-20": "0.000000000000000001",
+        "1e20": None, "1e-19": None, "e5": None, "1e": None, "1.25": "1.25", "x": None,
+    }
+    trades = [{"priceStr": text, "amountStr": "1e-3", "timestamp": 1} for text in wanted]
+    update = {"market": {"exchangeId": "1", "currencyPairId": "2", "marketId": "3"}, "tradesUpdate": {"trades": trades}}
+    payload = json.dumps({"marketUpdate": update})
+    rows = spark.createDataFrame([("p", 5, payload)], "path string, seq long, payload string")
+    parsed = messages.parse(rows.withColumn("payload", F.col("payload").cast("binary")))
+    found = sorted(r.price.normalize() for r in messages.market_updates(parsed).collect())
+    assert found == sorted(Decimal(v) for v in wanted.values() if v)
+    lost = {r.text for r in messages.unreadable_values(parsed).collect()}
+    assert lost == {text for text, value in wanted.items() if value is None}

@@ -19,7 +19,7 @@ def as_double(decimal: Column) -> Column:
 MOST_ZEROS = 60
 
 
-def _without_exponent(text: Column) -> Column:
+def without_exponent(text: Column) -> Column:
     """Digits moved past the point as the exponent says; other texts come back as they are."""
     form = r"\A([+-]?)(\d*)\.?(\d*)[eE]([+-]?\d{1,6})\z"
 
@@ -45,7 +45,7 @@ def to_units(text: Column, scale: Column) -> Column:
     Works on the digits, also with an exponent, so no digit is rounded away before the cut.
     """
     plain = F.trim(text)
-    plain = F.when(plain.rlike("[eE]"), _without_exponent(plain)).otherwise(plain)
+    plain = F.when(plain.rlike("[eE]"), without_exponent(plain)).otherwise(plain)
     form = r"\A([+-]?)(\d*)(?:\.(\d*))?\z"
     sign, whole, part = (F.regexp_extract(plain, form, g) for g in (1, 2, 3))
     digits = F.concat(whole, F.rpad(F.substring(part, F.lit(1), scale), scale, F.lit("0")))

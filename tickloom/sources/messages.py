@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import schema
+from tickloom.functions.numbers import without_exponent
 from tickloom.plans.pin import pin
 
 # The first messages of a capture are replies to the login and the subscription. Fixed value.
@@ -25,8 +26,15 @@ KINDS = {
 
 
 def number(text: Column) -> Column:
-    """A price or amount; null if the text is no number or has more digits than fit."""
-    return F.when(text.rlike(READABLE), text.try_cast(LEVEL_PRICE))
+    """A price or amount, also with an exponent; null if the text is no number or has more digits
+    than fit."""
+
+    def read(plain: Column) -> Column:
+        return F.when(plain.rlike(READABLE), plain.try_cast(LEVEL_PRICE))
+
+    moved = F.regexp_replace(without_exponent(text), r"\A([+-]?)0+(?=\d)", "$1")  # zeros of 0e99, too
+    plain = F.when(text.rlike("[eE]"), moved).otherwise(text)
+    return F.transform(F.array(plain), read)[0]
 
 
 def _known(update: Column) -> Column:
