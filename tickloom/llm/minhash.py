@@ -19,7 +19,7 @@ from tickloom.llm.words import mix, shingle_set, word_hashes
 #: Groups in each of the two collections, and minhashes in each group. A table key joins one
 #: group of either, so 2 * 7 * 2 = 28 minhashes make 49 tables of four minhashes each. At a
 #: similarity of 0.85 a pair shares a group of one collection with 1 - (1 - 0.85^2)^7, and a table
-#: with the square of that: 0.99975.
+#: with the square of that: 0.99975. At 0.80 that is 0.9984, at 0.50 it is 0.75.
 GROUPS, WIDTH = 7, 2
 
 
