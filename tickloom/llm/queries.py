@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import (
     exact,
+    lexical,
     minhash,
     mixing,
     pieces,
@@ -18,6 +19,8 @@ from tickloom.llm import (
     secrets,
     sharding,
     toxicity,
+    url_filter,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -336,3 +339,122 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: it has no eigenvectors. Tests hold it against another eigenvalue routine, and the
+    counts and deviations against whole numbers."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    each = found.select("row.vec_id", "n", "deviation", F.explode("components").alias("c"))
+    return each.select(
+        "vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "c.identity_error"
+    )
+
+
+def _fixed_sql(what: str) -> str:
+    """The longest of the fixed rules that fits, as a CASE."""
+    whens = []
+    for verdict, rule in sorted(url_filter.FIXED, key=lambda r: -len(r[1])):
+        host, _, start = rule.partition("/")
+        value = rule if what == "rule" else verdict
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{start}')"
+        whens.append(f"WHEN {fits} THEN '{value}'")
+    return f"CASE {' '.join(whens)} END"
+
+
+def _tokens_sql(kind: str, text: str, cut: str) -> str:
+    return (
+        f"list_transform(list_filter(string_split_regex({text}, '{cut}'), "
+        f"lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+')), lambda t: '{kind}:' || t)"
+    )
+
+
+@query(
+    "op12_url_filter",
+    rf"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+t AS (
+  SELECT page_id, host, path, {_fixed_sql("rule")} AS rule, {_fixed_sql("verdict")} AS fixed,
+    TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})([^0-9]|$)', 1) AS BIGINT) AS doc_id,
+    list_sort(list_distinct(list_concat(list_concat(
+      {_tokens_sql("scheme", f"translate(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '{_UPPER}', '{_UPPER.lower()}')", ":")},
+      {_tokens_sql("host", "host", "[.]")}), list_concat({_tokens_sql("path", "path", "[/._-]")},
+      list_concat({_tokens_sql("query", r"regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)", "[&=]")},
+      {_tokens_sql("tail", "regexp_extract(url, '^[^#]*#(.*)$', 1)", "[&=/]")}))))) AS tokens
+  FROM h),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 'block' WHEN quality = 1 OR toxic = 0 THEN 'allow' END) AS label
+  FROM labels GROUP BY doc_id),
+b AS (SELECT row_number() OVER () AS id, tokens, label FROM t JOIN l USING (doc_id) WHERE label IS NOT NULL),
+least AS (SELECT ceil({url_filter.SUPPORT} * count(*)) AS least FROM b),
+frequent AS (
+  SELECT token FROM (SELECT unnest(tokens) AS token FROM b) GROUP BY token
+  HAVING count(*) >= (SELECT least FROM least)),
+fb AS (
+  SELECT b.id, any_value(label) AS label, list(token ORDER BY token) AS tokens
+  FROM (SELECT id, label, unnest(tokens) AS token FROM b) b JOIN frequent USING (token) GROUP BY b.id),
+subsets AS (
+  SELECT id, label, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS rule
+  FROM (SELECT id, label, tokens, unnest(range(1, (1 << len(tokens))::BIGINT)) AS mask FROM fb)),
+counted AS (
+  SELECT rule, count(*) AS times, count(*) FILTER (label = 'block') AS block, count(*) FILTER (label = 'allow') AS allow
+  FROM subsets GROUP BY rule),
+rules AS (
+  SELECT rule, verdict, n, n::DOUBLE / times AS confidence
+  FROM (SELECT rule, times, unnest(['block', 'allow']) AS verdict, unnest([block, allow]) AS n FROM counted)
+  WHERE n >= (SELECT least FROM least) AND n > 0 AND n::DOUBLE / times >= {url_filter.CONFIDENCE}),
+keys AS (
+  SELECT *, row_number() OVER (ORDER BY confidence DESC, n DESC, array_to_string(rule, ' '), verdict <> 'block', verdict) AS place
+  FROM rules),
+f AS (SELECT coalesce(list(token), []) AS known FROM frequent),
+sets AS (SELECT DISTINCT list_sort(list_intersect(tokens, known)) AS own FROM t, f),
+best AS (SELECT own, min(place) AS place FROM sets JOIN keys ON list_has_all(own, rule) GROUP BY own)
+SELECT page_id, host, path, t.rule, coalesce(fixed, k.verdict, '{url_filter.OTHERWISE}') AS verdict,
+  CASE WHEN fixed IS NULL THEN array_to_string(k.rule, ' ') END AS mined
+FROM (SELECT *, list_sort(list_intersect(tokens, known)) AS own FROM t, f) t
+  LEFT JOIN best USING (own) LEFT JOIN keys k USING (place)
+""",
+)
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    found = url_filter.judge(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("row.page_id", "host", "path", "rule", "verdict", "mined")
+
+
+_TERMS = rf"""regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op13_ranked_search",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS no, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS total FROM d),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (
+  SELECT no, doc_id, term, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT no, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY no, doc_id, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM p, s GROUP BY term),
+scored AS (
+  SELECT item_id, no, any_value(doc_id) AS doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::BIGINT AS score
+  FROM p JOIN q USING (term) JOIN w USING (term), s GROUP BY item_id, no),
+r AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.rank(documents(spark, sf_dir), items)
