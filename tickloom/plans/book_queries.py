@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, compaction
+from tickloom.operators import book, book_history, compaction
 from tickloom.plans import views
 from tickloom.plans.registry import micros, query, rounded, sql_rounded
 from tickloom.plans.views import CATALOG_SQL, LEVELS_SQL, MESSAGES_SQL
@@ -131,6 +131,72 @@ def _(spark, sf):
     return book.book_per_epoch(views.levels(messages), views.snapshots(messages))
 
 
+# -- books at every point ----------------------------------------------------------------
+
+# Levels from the first snapshot on, with what comes next at their price and the next snapshot.
+LIVES_SQL = f"""{MESSAGES_SQL}, {LEVELS_SQL},
+  snaps AS (SELECT market_id, seq, lead(seq) OVER (PARTITION BY market_id ORDER BY seq) AS until
+    FROM messages WHERE kind = 'snapshot'),
+  epochs AS (SELECT l.*, until FROM levels l ASOF JOIN snaps s ON l.market_id = s.market_id AND l.seq >= s.seq),
+  ahead AS (SELECT *, lead(seq) OVER w AS next_seq, lead(amount) OVER w AS next_amount
+    FROM epochs WINDOW w AS (PARTITION BY market_id, side, price ORDER BY seq)),
+  lives AS (SELECT market_id, side, price, amount, seq AS seq_from,
+      CASE WHEN until <= next_seq OR next_seq IS NULL THEN until ELSE next_seq END AS seq_to,
+      CASE WHEN until <= next_seq OR (next_seq IS NULL AND until IS NOT NULL) THEN 'snapshot'
+        WHEN next_amount > 0 THEN 'overwrite' WHEN next_seq IS NOT NULL THEN 'removal' END AS closed_by
+    FROM ahead WHERE amount > 0)"""
+
+
+@query("level_lives", f"WITH {LIVES_SQL} SELECT * FROM lives")
+def _(spark, sf):
+    messages = views.messages(spark, sf)
+    return book_history.level_lives(views.levels(messages), views.snapshots(messages))
+
+
+@query(
+    "book_at",
+    f"""WITH {LIVES_SQL}, d AS (
+      SELECT DISTINCT market_id, time_us // 86400000000 * 86400000000 + 86400000000 AS day_end
+      FROM messages WHERE time_us IS NOT NULL),
+    p AS (SELECT DISTINCT market_id, (SELECT max(seq) FROM messages m
+        WHERE m.market_id = d.market_id AND m.time_us <= day_end) AS seq FROM d)
+    SELECT p.market_id, p.seq, side, price, amount FROM p JOIN lives l
+    ON p.market_id = l.market_id AND seq_from <= p.seq AND (seq_to IS NULL OR p.seq < seq_to)""",
+)
+def _(spark, sf):
+    """The books of all markets at the end of each of their days."""
+    messages = views.messages(spark, sf)
+    day_end = F.expr("time_us div 86400000000 * 86400000000 + 86400000000")
+    times = messages.where("time_us IS NOT NULL").select("market_id", day_end.alias("time_us")).distinct()
+    points = book_history.last_seq_at(messages, times)
+    return book_history.book_at(views.levels(messages), views.snapshots(messages), points)
+
+
+TOP_SQL = f"""{LIVES_SQL},
+  bids AS (SELECT a.market_id, a.seq, max(l.price) AS price, arg_max(l.amount, l.price) AS amount
+    FROM messages a JOIN lives l ON a.market_id = l.market_id AND l.side = 'bid' AND seq_from <= a.seq
+      AND (seq_to IS NULL OR a.seq < seq_to) GROUP BY 1, 2),
+  asks AS (SELECT a.market_id, a.seq, min(l.price) AS price, arg_min(l.amount, l.price) AS amount
+    FROM messages a JOIN lives l ON a.market_id = l.market_id AND l.side = 'ask' AND seq_from <= a.seq
+      AND (seq_to IS NULL OR a.seq < seq_to) GROUP BY 1, 2),
+  tops AS (SELECT m.market_id, m.seq, b.price AS best_bid, b.amount AS bid_amount, a.price AS best_ask,
+      a.amount AS ask_amount, row(b.price, b.amount, a.price, a.amount) AS now
+    FROM messages m JOIN (SELECT market_id, min(seq) AS s FROM snaps GROUP BY 1) f ON f.market_id = m.market_id AND m.seq >= s
+      LEFT JOIN bids b ON b.market_id = m.market_id AND b.seq = m.seq
+      LEFT JOIN asks a ON a.market_id = m.market_id AND a.seq = m.seq),
+  changes AS (SELECT *, lag(now) OVER (PARTITION BY market_id ORDER BY seq) AS before FROM tops)"""
+
+
+@query(
+    "book_top",
+    f"""WITH {TOP_SQL} SELECT market_id, seq, best_bid, bid_amount, best_ask, ask_amount,
+      best_ask - best_bid AS spread FROM changes WHERE before IS NULL OR now IS DISTINCT FROM before""",
+)
+def _(spark, sf):
+    messages = views.messages(spark, sf)
+    return book_history.book_top(views.levels(messages), views.snapshots(messages))
+
+
 # -- catalog ---------------------------------------------------------------------------
 
 SHADOW_SQL = f"""{CATALOG_SQL}, c AS (SELECT *, max(e) OVER (PARTITION BY market ORDER BY s, e DESC, file_id
