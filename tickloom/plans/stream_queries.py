@@ -11,7 +11,7 @@ from tickloom.plans.lake_queries import NORMALIZE_SQL, normalized_columns
 from tickloom.plans.registry import micros, query
 from tickloom.plans.views import MESSAGES_SQL, TRADES_SQL
 from tickloom.schema import MARKET
-from tickloom.streaming import bars, book, ingest
+from tickloom.streaming import bars, book, ingest, market_state
 
 
 LATE = "1 hour"
@@ -99,3 +99,37 @@ def _(spark, sf):
     return kept.groupBy("market_id").agg(
         F.max("last_seq").alias("last_seq"), F.max_by("missing", "last_seq").alias("missing")
     )
+
+
+def _late_messages(spark, sf):
+    """A stream of messages that come late and some twice, four files in each of three micro-batches."""
+    messages = views.messages(spark, sf)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 4)
+    return stream.parquet(views.late_message_folder(spark, sf))
+
+
+@query("stream_book_state", f"WITH {BOOK_SQL} SELECT market_id, side, price, amount FROM book")
+def _(spark, sf):
+    """The book out of the state store."""
+    root = session.new_folder(spark, "book-state")
+    messages = _late_messages(spark, sf)
+    changes = market_state.book_changes(views.levels(messages), views.snapshots(messages))
+    _finish(market_state.start(changes, market_state.keep_batches(f"{root}/changes"), f"{root}/checkpoint"))
+    return market_state.kept_book(spark, f"{root}/checkpoint")
+
+
+@query(
+    "stream_seq_gaps",
+    f"""WITH {MESSAGES_SQL}, g AS (SELECT market_id, seq + seq // 97 AS seq FROM messages),
+    l AS (SELECT market_id, seq, lag(seq) OVER (PARTITION BY market_id ORDER BY seq) AS seq_before FROM g)
+    SELECT market_id, seq_before, seq, seq - seq_before - 1 AS missing FROM l WHERE seq <> seq_before + 1""",
+)
+def _(spark, sf):
+    """Gaps that became certain while the stream ran, and those still open at its end."""
+    root = session.new_folder(spark, "gap-state")
+    gappy = _late_messages(spark, sf).withColumn("seq", F.expr("seq + seq div 97"))
+    gaps = market_state.certain_gaps(gappy, slack=2 * views.JITTER)
+    _finish(market_state.start(gaps, market_state.keep_batches(f"{root}/gaps"), f"{root}/checkpoint"))
+    sent = spark.read.parquet(f"{root}/gaps").where("kind = 'gap'")
+    found = sent.select("market_id", "seq_before", "seq", "missing")
+    return found.unionByName(market_state.open_gaps(spark, f"{root}/checkpoint"))

@@ -316,6 +316,26 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Messages of the folder below come up to this many numbers late.
+JITTER = 60
+
+
+def late_message_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The messages landed in three parts of four files each, out of order and some twice."""
+
+    def land(folder: str) -> None:
+        rows = messages(spark, sf_dir)
+        most = rows.agg(F.max("seq")).first()[0] or 0
+        jitter = F.pmod(F.xxhash64("event_id"), F.lit(JITTER))
+        part = F.least(F.lit(2), F.floor((F.col("seq") + jitter) * 3 / F.lit(most + 1)))
+        for k in range(3):
+            again = (part == k - 1) & (F.col("event_id") % 50 == 0)
+            landed = rows.where((part == k) | again)
+            landed.repartition(4, "event_id").write.mode("append").parquet(folder)
+
+    return _once(spark, sf_dir, "late-messages", land)
+
+
 MESSAGES_SQL = """
 messages AS (
   SELECT CAST(user_id % 10 AS BIGINT) AS market_id,
