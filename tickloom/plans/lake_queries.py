@@ -11,7 +11,7 @@ from tickloom.plans import views
 from tickloom.plans.pin import pin
 from tickloom.plans.registry import micros, query, rounded, sql_rounded
 from tickloom.plans.views import LONG_TRADES_SQL, PAIRS_SQL, TRADES_SQL
-from tickloom.sources import catalog, frames, lake, messages, raw, versions
+from tickloom.sources import catalog, frame_ranges, frames, lake, messages, raw, versions
 from tickloom.streaming import ingest
 
 
@@ -794,6 +794,22 @@ def _(spark, sf):
     return frames.rejected_frames(views.captures(spark, sf)).select("path", "seq", "status")
 
 
+@query(
+    "frames_by_range",
+    f"""WITH f AS (SELECT event_id // {views.LONG_FRAMES} AS capture, event_id % {views.LONG_FRAMES} AS seq,
+      concat_ws(':', CAST(event_id AS VARCHAR), event_type, props) AS text,
+      CASE WHEN event_id % 101 = 0 THEN 'bad_crc' ELSE 'valid' END AS status FROM events)
+    SELECT capture, seq, text, CAST(strlen(text) AS INTEGER) AS length, status FROM f
+    UNION ALL SELECT capture, count(*), NULL, NULL, 'truncated' FROM f GROUP BY 1""",
+)
+def _(spark, sf):
+    """Each file is cut into pieces that find their frames on their own."""
+    pieces = frame_ranges.read_pieces(spark, views.long_captures(spark, sf), piece=views.LONG_PIECE)
+    capture = F.regexp_extract("path", "capture=([0-9]+)", 1).cast("bigint").alias("capture")
+    text = F.col("payload").cast("string").alias("text")
+    return frame_ranges.split_pieces(pieces).select(capture, "seq", text, "length", "status")
+
+
 @query(
     "frame_stats",
     """WITH f AS (SELECT 'capture-' || CAST(event_id // 500 AS VARCHAR) AS path, event_id % 500 // 100 AS chunk,

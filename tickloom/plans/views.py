@@ -477,17 +477,38 @@ def _capture(event_id: Column) -> Column:
     return F.concat(F.lit("capture-"), number)
 
 
+# Frames of a long capture file, which is read in pieces of the second many bytes.
+LONG_FRAMES, LONG_PIECE = 20_000, 1 << 16
+
+
+def long_captures(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of capture files of 20,000 frames each, every 101st with a wrong checksum, and one byte
+    behind the last: below ``capture=`` and the file's number."""
+
+    def write(folder: str) -> None:
+        rows = _capture_files(spark, sf_dir, F.floor(F.col("event_id") / LONG_FRAMES).alias("capture"))
+        text = rows.select("capture", F.col("content").cast("string").alias("value"))
+        text.write.partitionBy("capture").option("lineSep", "\n").text(folder)
+
+    return _once(spark, sf_dir, "long-captures", write)
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture files from ``events``: 500 frames each, every 101st with a wrong checksum."""
+    return _capture_files(spark, sf_dir, _capture(F.col("event_id")).alias("path"))
+
+
+def _capture_files(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    """The frames of each file, joined: the key and ``content``."""
     e = F.col("event_id")
     text = F.concat_ws(":", e.cast("string"), F.col("event_type"), F.col("props"))
     good = frames.encode_frame(text.cast("binary"))
     size = F.octet_length(good)
     bad = F.concat(F.substring(good, F.lit(1), size - 4), F.unhex(F.lit("00000000")))
+    rows = table(spark, sf_dir, "events").select(key, e, F.when(e % 101 == 0, bad).otherwise(good).alias("f"))
+    name = rows.columns[0]
     return (
-        table(spark, sf_dir, "events")
-        .select(_capture(e).alias("path"), e, F.when(e % 101 == 0, bad).otherwise(good).alias("f"))
-        .groupBy("path")
+        rows.groupBy(name)
         .agg(F.sort_array(F.collect_list(F.struct("event_id", F.hex("f").alias("hex")))).alias("fs"))
-        .select("path", F.unhex(F.array_join(F.col("fs.hex"), "")).alias("content"))
+        .select(name, F.unhex(F.array_join(F.col("fs.hex"), "")).alias("content"))
     )

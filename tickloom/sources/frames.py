@@ -3,7 +3,8 @@
 A frame is a two-byte big-endian length, the payload, and a four-byte big-endian CRC32
 over length and payload. Lengths chain, so one task walks one file; it only hops over the
 headers and hands out slices. The checksum is compared by Spark's own ``crc32``. A file must
-fit Spark's limit for one binary value (2 GB); capture to many files for parallel reading.
+fit Spark's limit for one binary value (2 GB); ``sources/frame_ranges.py`` reads larger ones, in
+many tasks each.
 """
 
 from __future__ import annotations
@@ -76,27 +77,28 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield table(rows)
 
 
-def split_frames(captures: DataFrame) -> DataFrame:
-    """``path, seq, payload, length, status`` with status valid, bad_crc or truncated."""
+def with_status(frames: DataFrame) -> DataFrame:
+    """``path, seq, payload, length, status`` of frames ``path, seq, raw, crc``."""
     status = (
         F.when(F.col("crc").isNull(), "truncated")
         .when(F.crc32("raw") == F.col("crc"), "valid")
         .otherwise("bad_crc")
     )
     payload = F.when(F.col("crc").isNotNull(), F.substring(F.col("raw"), HEAD + 1, 1 << 16))
-    return (
-        captures.select("path", "content")
-        .mapInPandas(_split, SPLIT)
-        .select(
-            "path",
-            "seq",
-            payload.alias("payload"),
-            F.octet_length(payload).alias("length"),
-            status.alias("status"),
-        )
+    return frames.select(
+        "path",
+        "seq",
+        payload.alias("payload"),
+        F.octet_length(payload).alias("length"),
+        status.alias("status"),
     )
 
 
+def split_frames(captures: DataFrame) -> DataFrame:
+    """``path, seq, payload, length, status`` with status valid, bad_crc or truncated."""
+    return with_status(captures.select("path", "content").mapInPandas(_split, SPLIT))
+
+
 def valid_frames(captures: DataFrame) -> DataFrame:
     return split_frames(captures).where(F.col("status") == "valid").drop("status")
 
