@@ -11,6 +11,7 @@ from tickloom.plans.lake_queries import NORMALIZE_SQL, normalized_columns
 from tickloom.plans.registry import micros, query
 from tickloom.plans.views import MESSAGES_SQL, TRADES_SQL
 from tickloom.schema import MARKET
+from tickloom.sources import paged
 from tickloom.streaming import bars, book, ingest, market_state
 
 
@@ -133,3 +134,30 @@ def _(spark, sf):
     sent = spark.read.parquet(f"{root}/gaps").where("kind = 'gap'")
     found = sent.select("market_id", "seq_before", "seq", "missing")
     return found.unionByName(market_state.open_gaps(spark, f"{root}/checkpoint"))
+
+
+PULL = {"since": "2024-01-04 06:00:00", "markets": "alpha:click/eur, beta:view/eur"}
+PULL_SQL = """WITH e AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS exchange,
+      concat(event_type, '/eur') AS instrument FROM events)
+    SELECT exchange, instrument, event_id AS seq, epoch_us(ts) AS time_us, CAST(round(value * 100) AS BIGINT) AS cents FROM e
+    WHERE exchange || ':' || instrument IN ('alpha:click/eur', 'beta:view/eur') AND ts >= TIMESTAMP '2024-01-04 06:00:00'"""
+
+
+def _pulled(rows):
+    time_us, cents = F.round(F.col("time") * 1e6).cast("bigint"), F.col("price").cast("decimal(18,2)") * 100
+    return rows.select("exchange", "instrument", "seq", time_us.alias("time_us"), cents.cast("bigint").alias("cents"))
+
+
+@query("source_since", PULL_SQL)
+def _(spark, sf):
+    """Two markets from a time on, read through the paged source."""
+    return _pulled(paged.trades(spark, views.landed_pages(spark, sf), **PULL))
+
+
+@query("source_pull", PULL_SQL)
+def _(spark, sf):
+    """The same as a stream, pulled until now."""
+    root = session.new_folder(spark, "pulled")
+    rows = paged.trades(spark, views.landed_pages(spark, sf), stream=True, **PULL)
+    paged.pull(rows, market_state.keep_batches(f"{root}/rows"), f"{root}/checkpoint")
+    return _pulled(spark.read.parquet(f"{root}/rows"))

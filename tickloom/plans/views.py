@@ -477,6 +477,12 @@ def _capture(event_id: Column) -> Column:
     return F.concat(F.lit("capture-"), number)
 
 
+def landed_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of raw trades in pages, each of a stretch of time."""
+    paged = lambda s, d: raw_trades(s, d).repartitionByRange(12, "time").sortWithinPartitions("time")
+    return stored(spark, sf_dir, "pages", paged)
+
+
 # Frames of a long capture file, which is read in pieces of the second many bytes.
 LONG_FRAMES, LONG_PIECE = 20_000, 1 << 16
 
