@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ def bar_aggregates() -> list[Column]:
     ]
 
 
-def ohlc(trades: DataFrame, every: str) -> DataFrame:
-    """Bars of canonical trades per market, in price units; works on batches and streams.
+def ohlc(trades: DataFrame, every: str, more: Sequence[str] = ()) -> DataFrame:
+    """Bars of canonical trades per market, in price units; works on batches and streams. Trades
+    that differ in a column named in ``more`` make bars of their own.
 
     The scales stay with the bar, so a market whose scale changes gets separate bars.
     """
@@ -44,6 +47,7 @@ def ohlc(trades: DataFrame, every: str) -> DataFrame:
         raise ValueError(f"bar must be one of {[*WIDTHS, MONTH]}: {every!r}")
     bars = trades.groupBy(
         *MARKET,
+        *more,
         start.alias("bar"),
         F.col("price.scale").alias("price_scale"),
         F.col("amount.scale").alias("amount_scale"),

@@ -11,6 +11,7 @@ from tickloom.plans.settle import settle
 from tickloom.plans.registry import micros, query, rounded, sql_rounded
 from tickloom.plans.views import LONG_TRADES_SQL, TRADES_SQL
 from tickloom.schema import MARKET, TIME_ORDER
+from tickloom.sources import kept_bars
 
 W = "PARTITION BY exchange, instrument ORDER BY time_us, seq"
 LEAD = f"""{TRADES_SQL}, l AS (SELECT *, lead(p) OVER w AS p_next, lag(p) OVER w AS p_prev,
@@ -437,12 +438,16 @@ def _bars_sql(start: str, view: str = "trades", ctes: str = TRADES_SQL) -> str:
       CAST(sum(amount_int) AS BIGINT) AS volume, count(*) AS trades FROM b GROUP BY 1, 2, 3"""
 
 
-def _bars(rows, every):
-    return bars.ohlc(rows, every).select(
+def _bar_columns(rows):
+    return rows.select(
         *MARKET, micros("bar").alias("bar_us"), "open", "high", "low", "close", "volume", "trades"
     )
 
 
+def _bars(rows, every):
+    return _bar_columns(bars.ohlc(rows, every))
+
+
 @query("ohlc_1m", _bars_sql("time_us // 60000000 * 60000000"))
 def _(spark, sf):
     return _bars(views.trades(spark, sf), "1m")
@@ -466,3 +471,18 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return _bars(views.long_trades(spark, sf), "1mo")
+
+
+def _kept(spark, sf, subject):
+    return kept_bars.read(spark, views.barred_lake(spark, sf), subject)
+
+
+@query("kept_bars_1m", _bars_sql("time_us // 60000000 * 60000000"))
+def _(spark, sf):
+    """Bars stored beside a lake in versions, of which some units were refreshed for late trades."""
+    return _bar_columns(_kept(spark, sf, "ohlc:1m"))
+
+
+@query("kept_bars_1d", _bars_sql("time_us // 86400000000 * 86400000000"))
+def _(spark, sf):
+    return _bar_columns(_kept(spark, sf, "ohlc:1d"))

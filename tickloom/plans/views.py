@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickloom import schema, session
 from tickloom.functions import numbers
 from tickloom.plans import blocks
-from tickloom.sources import frames, lake, versions
+from tickloom.sources import frames, kept_bars, lake, versions
 from tickloom.streaming import ingest
 
 CAPTURE_FRAMES = 500
@@ -147,17 +147,29 @@ def versioned_lake(spark: SparkSession, sf_dir: str) -> str:
     The last batch also has late rows of finished days, some of them a second time.
     """
     session.prepare(spark)
+    return _once(spark, sf_dir, "versioned", lambda root: _compactions(spark, sf_dir, root, lambda: None))
+
+
+def barred_lake(spark: SparkSession, sf_dir: str) -> str:
+    """Root of such a lake that also keeps bars, refreshed after each compaction."""
+    session.prepare(spark)
 
     def build(root: str) -> None:
-        rows = trades(spark, sf_dir)
-        day, late, again = F.dayofmonth("time"), F.col("seq") % 997 == 0, F.col("seq") % 991 == 0
-        ingest.append_batch(rows.where((day < 4) & ~late), 0, root)
-        versions.compact(spark, root, F.lit("2024-01-04 00:00:00"))
-        ingest.append_batch(rows.where((day >= 4) & (day < 21) & ~late), 1, root)
-        ingest.append_batch(rows.where((day >= 21) | late | again), 2, root)
-        versions.compact(spark, root, F.lit(LAKE_NOW))
-
-    return _once(spark, sf_dir, "versioned", build)
+        _compactions(spark, sf_dir, root, lambda: kept_bars.refresh(spark, root))
+
+    return _once(spark, sf_dir, "barred", build)
+
+
+def _compactions(spark: SparkSession, sf_dir: str, root: str, after: Callable[[], object]) -> None:
+    rows = trades(spark, sf_dir)
+    day, late, again = F.dayofmonth("time"), F.col("seq") % 997 == 0, F.col("seq") % 991 == 0
+    ingest.append_batch(rows.where((day < 4) & ~late), 0, root)
+    versions.compact(spark, root, F.lit("2024-01-04 00:00:00"))
+    after()
+    ingest.append_batch(rows.where((day >= 4) & (day < 21) & ~late), 1, root)
+    ingest.append_batch(rows.where((day >= 21) | late | again), 2, root)
+    versions.compact(spark, root, F.lit(LAKE_NOW))
+    after()
 
 
 def stored(
