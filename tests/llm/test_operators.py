@@ -251,6 +251,35 @@ def test_near_groups_odd_rows(make, nothing):
     assert minhash.near_groups(nothing).count() == 0
 
 
+@pytest.mark.parametrize("turns", [0, 6])
+def test_near_copies_at_the_limit_are_joined_in_proportion(make, monkeypatch, turns):
+    """Copies of one text with changes of their own, so that each is linked with some others only."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(320):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 4)):
+            own[at] = f"{own[at]}x{rng.randint(0, 3)}"
+        rows.append((i, " ".join(own), "en", "s"))
+    monkeypatch.setattr(minhash, "TURNS", turns)
+    written, formed = minhash.settle, {}
+
+    def counted(table, label):
+        found = written(table, label)
+        formed[label] = found.count() if label == "rest" else 0
+        return found
+
+    monkeypatch.setattr(minhash, "settle", counted)
+    counts = []
+    for n in (80, 320):
+        found = {r.doc_id: r.component_id for r in minhash.near_groups(make(rows[:n])).collect()}
+        assert found == brute.near({r[0]: r[1] for r in rows[:n]}, 5, 80)
+        counts.append(formed["rest"])
+    if turns:
+        assert counts[1] <= 6 * max(counts[0], 80)
+
+
 def test_near_group_without_a_common_leader(make):
     """A chain of texts: only neighbours are linked, and all are one component."""
     own = [f"v{i}" for i in range(300)]

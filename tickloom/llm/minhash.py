@@ -22,6 +22,10 @@ from tickloom.llm.words import mix, shingle_set, word_hashes
 #: with the square of that: 0.99975. At 0.80 that is 0.9984, at 0.50 it is 0.75.
 GROUPS, WIDTH = 7, 2
 
+#: Times at most that new leaders are drawn before what is left is joined, as long as links are found.
+#: It decides how many pairs the join forms, not what is found.
+TURNS = 6
+
 
 def _signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One key for each group: the minima of its hash functions, mixed."""
@@ -119,11 +123,29 @@ def _rarest(sets: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     return placed.where((F.col("place") <= F.col("size") - needed) & (F.col("n") > 1)).drop("n")
 
 
-def _possible(percent: int) -> Column:
+def _possible(percent: int, x: str = "x", y: str = "y") -> Column:
     """Whether sets x and y that meet first at this shingle can reach the similarity: their
     intersection holds it and what comes behind it in either."""
-    most = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    return 100 * most >= percent * (F.col("x.size") + F.col("y.size") - most)
+    size, other = F.col(f"{x}.size"), F.col(f"{y}.size")
+    most = F.least(size - F.col(f"{x}.place"), other - F.col(f"{y}.place"))
+    return 100 * most >= percent * (size + other - most)
+
+
+def _led_again(rare: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Rows (a, b, ra, rb): each rare shingle's sets with one of them, another one in each turn, where
+    their components differ and they can reach the similarity. At most one row for each of ``rare``."""
+    drawn = F.xxhash64("id", "shingle", F.lit(turn))
+    one = F.struct(drawn.alias("drawn"), "id", "size", "root", "place")
+    met = with_group(rare, "shingle", "id", "lead", one, F.max)
+    met = met.withColumn("own", F.struct("id", "size", "root", "place"))
+    found = met.where((F.col("root") != F.col("lead.root")) & _possible(percent, "own", "lead"))
+    low = F.col("id") < F.col("lead.id")
+    return found.select(
+        F.least("id", "lead.id").alias("a"),
+        F.greatest("id", "lead.id").alias("b"),
+        F.when(low, F.col("root")).otherwise(F.col("lead.root")).alias("ra"),
+        F.when(low, F.col("lead.root")).otherwise(F.col("root")).alias("rb"),
+    ).dropDuplicates(["a", "b"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,10 +184,14 @@ def near_groups(
     3. In each table's bucket the class that meets most others leads. Each class is verified
        against its best leader, then against the other leaders that are not in its group yet.
     4. What is left are classes in buckets that hold several components: texts that share a
-       passage, or copies changed too much for their leader. These are joined exactly: sets that
-       reach the similarity share one of their rarest shingles, and where they meet first bounds
-       how much they can share. Pairs of different components that pass are verified, so no
-       candidate is passed over; pairs inside one component can add nothing and are not formed.
+       passage, or copies changed too much for their leader. Sets that reach the similarity share
+       one of their rarest shingles, and where they meet first bounds how much they can share.
+       First each rare shingle draws one of its sets as a new leader, a few times over, and the others of
+       other components are verified against it. So a large group of near copies, of which each is linked
+       with some of the others, becomes one component at a cost in proportion to its size.
+    5. Then the rest is joined exactly on rare shingles. Pairs of different components that can
+       reach the similarity are verified, so no candidate is passed over; pairs inside one component can add
+       nothing and are not formed.
 
     Shuffles of keys that may be hot (copies, buckets, leaders, components) are salted. Texts
     without words link with nothing. Rows with a null id form no links and are kept. Rows that
@@ -229,6 +255,20 @@ def near_groups(
     )
     pool = settle(mixed.join(several, "key").select("id", "root").distinct(), "mixed")
     rare = settle(_rarest(sets, pool, percent), "rarest")
+    drawn = links.limit(0)
+    for turn in range(TURNS):
+        pairs = _led_again(rare, turn, percent).join(tried, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "drawn-pairs")
+        if pairs.isEmpty():
+            break
+        found = settle(verified(pairs.select("a", "b"), sets, percent), "drawn-links")
+        drawn, tried = drawn.unionByName(found), tried.unionByName(pairs.select("a", "b"))
+        if found.isEmpty():
+            break
+        tied = components(pairs.join(found, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        tops = tied.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rare = lookup(rare, "root", "id", tops).withColumn("root", F.coalesce("top", "root")).drop("top")
+        rare = settle(rare, "rarest")
     rest = (
         rare.alias("x")
         .join(rare.alias("y"), F.expr("x.shingle = y.shingle AND x.root < y.root") & _possible(percent))
@@ -236,7 +276,7 @@ def near_groups(
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    links = settle(verified(settle(rest, "rest"), sets, percent), "links")
+    links = settle(verified(settle(rest, "rest"), sets, percent).unionByName(drawn), "links")
     if not links.isEmpty():  # the last links tie whole components together
         ends = rooted(links.select(F.col("a").alias("id"), F.col("b").alias("key")), "id", "ra")
         ends = rooted(ends.select("ra", F.col("key").alias("id")).withColumn("key", F.col("ra")), "id", "rb")
