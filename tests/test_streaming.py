@@ -138,3 +138,7 @@ def test_missing_numbers_in_a_stream(spark):
     assert got == {1: (2, 2), 2: (None, 0)}
     gaps = book.seq_gaps(rows).collect()
     assert [(r["market_id"], r["seq_before"], r["seq"], r["missing"]) for r in gaps] == [(1, 2, 5, 2)]
+
+
+def test_book_without_a_batch_is_empty(spark, folder):
+    assert stream_book.read_book(spark, f"{folder}/none").collect() == []

@@ -108,8 +108,12 @@ def ingest_book(
 
 
 def read_book(spark: SparkSession, root: str) -> DataFrame:
-    """The current book: ``market_id, side, price, amount`` of markets that had a snapshot."""
-    newest = _batches(spark, root)[-1]
+    """The current book: ``market_id, side, price, amount`` of markets that had a snapshot. It is empty,
+    with prices and amounts as of parsed messages, as long as no batch was added."""
+    batches = _batches(spark, root)
+    if not batches:
+        return spark.createDataFrame([], "market_id bigint, side string, price decimal(38,18), amount decimal(38,18)")
+    newest = batches[-1]
     markets = spark.read.parquet(f"{root}/snapshots/{newest}").select("market_id")
     levels = spark.read.parquet(f"{root}/levels/{newest}").where("amount > 0")
     return levels.join(markets, "market_id", "left_semi").select(*LEVEL, "amount")
