@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,7 +345,7 @@ def test_encoding_is_the_cheapest(edge, edge_rows, vocabulary):
     for i, text in texts(edge_rows).items():
         if text is None:
             assert found[i] is None
-        elif len(text) < 5000:
+        else:
             assert found[i] == brute.viterbi(text, vocabulary), i
 
 
@@ -365,9 +366,58 @@ def test_search_commits_early_and_in_a_small_window():
         text = "".join(rng.choice("ab ab ab c▁") for _ in range(rng.randint(0, 700)))
         assert pieces.Encoder(vocabulary).encode(text) == brute.viterbi(text, vocabulary)
         assert pieces.decode_ids(pieces.Encoder(vocabulary).encode(text), vocabulary) == text
-    long = "".join(rng.choice("ab") for _ in range(20_000))
-    parts = list(pieces.search(long, vocabulary))
-    assert max(map(len, parts)) < 600 and sum(parts, []) == sum(pieces.search(long, vocabulary), [])
+
+
+def streamed(text, vocabulary, portion):
+    """(ids, the most back pointers held, the most characters between two commits)."""
+    stream, out, held, gap = pieces.Stream(vocabulary), [], 0, 0
+    for at in range(0, len(text), portion):
+        out += stream.feed(text[at : at + portion])
+        held, gap = max(held, stream.held), max(gap, stream.at - stream.base)
+    return out + stream.close(), held, gap
+
+
+@pytest.mark.parametrize("portion", [1, 7, 1000])
+def test_stream_commits_when_paths_meet(portion):
+    rng = random.Random(9)
+    made = [(i, p, -rng.random() * 9) for i, p in enumerate(["a", "b", "ab", "ba", "aba", "bab", "abab", "bbb"])]
+    vocabulary = pieces.make_vocabulary(made, list(range(100, 356)), 400, False, False)
+    text = "".join(rng.choice("ab") for _ in range(20_000))
+    ids, held, gap = streamed(text, vocabulary, portion)
+    assert ids == brute.viterbi(text, vocabulary) == pieces.Encoder(vocabulary).encode(text)
+    assert pieces.decode_ids(ids, vocabulary) == text
+    # Paths that part meet again soon, so what is held does not grow with the text.
+    assert held <= 8 * vocabulary.longest and gap <= 16 * vocabulary.longest
+
+
+def test_stream_gives_out_at_once_what_is_certain():
+    made = [(0, "a", -1.0), (1, "aa", -1.0), (2, "c", -1.0)]
+    stream = pieces.Stream(pieces.make_vocabulary(made, list(range(100, 356)), 400, False, False))
+    assert stream.feed("c") == [2] and stream.held == 1  # no piece goes on behind it
+    assert stream.feed("a") == [] and stream.feed("c") == [0, 2] and stream.feed("é") == [295, 269]
+    assert stream.feed("aa") == [] and stream.feed("a") == []  # "a aa" and "aa a" are both open
+    assert stream.close() == [0, 1]  # of equal costs, the one with the longer last piece
+
+
+def test_long_words_and_portions(vocabulary, monkeypatch):
+    rng = random.Random(10)
+    word = "".join(rng.choice("étainrsol日本語😀▁") for _ in range(6000))
+    odd = ["", " ", "  a", "a  ", word, f"x {word} y", "\n\t \n", " " * 300 + "b" * 90, "\x00 \x01", "a" * 64, "a" * 65]
+    wanted = [brute.viterbi(text, vocabulary) for text in odd]
+    for most, together, portion in [(16 << 20, 1 << 14, 1 << 16), (1, 1, 1), (40, 3, 17)]:
+        monkeypatch.setattr(pieces, "MOST_BYTES", most)
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        monkeypatch.setattr(pieces, "PORTION", portion)
+        monkeypatch.setattr(pieces, "DECODED", portion)
+        ids, offsets = pieces.Encoder(vocabulary).encode_all(pa.array([*odd, None]))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [*wanted, []]
+        missing = pa.array([False] * len(odd) + [True])
+        assert pieces.Decoder(vocabulary).decode_all(ids, offsets, missing).to_pylist() == [*odd, None]
+
+
+def test_decoding_bad_bytes_and_clipped_batches(vocabulary):
+    half = vocabulary.byte_ids[0xC3]
+    assert pieces.decode_ids([half], vocabulary) == "\ufffd" and pieces.decode_ids([], vocabulary) == ""
 
 
 def test_own_pieces_come_back(vocabulary):
