@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -508,6 +509,42 @@ def test_toxicity_scores(spark, edge, nothing):
     assert kept.where("h").count() == 0
 
 
+def test_toxicity_sample_of_odd_rows(spark, make, edge):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = make([(ids[0], f"{k % 7}", "en", "s") for k in range(900)] + [(i, "x" * i, "en", "s") for i in ids[1:]] + [(None, "n", "en", "s")])
+    # Labels twice each; of one id they disagree, one has none, one belongs to no row.
+    rows = [(i, i % 2) for i in ids] * 2 + [(ids[3], 1 - ids[3] % 2), (ids[4], None), (None, 1), (10_000, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    found = {r.doc_id: (bytes(r.text), r.label) for r in toxicity.sample(docs, labels).collect()}
+    assert set(found) == set(ids) - {ids[3]} and found[ids[0]] == (b"6", ids[0] % 2)
+    assert all(label == i % 2 for i, (_, label) in found.items())
+    assert toxicity.sample(docs, labels, most=9).count() <= 9
+    few = toxicity.sample(docs, labels, most_bytes=200).collect()
+    assert 0 < len(few) < len(found) and sum(len(r.text) for r in few) <= 200
+    null = spark.createDataFrame([(None,), (ids[0],)], "doc_id long").select(toxicity.held_out("doc_id").alias("h"))
+    assert [r.h for r in null.collect()] == [False, False]
+
+
+def test_toxicity_model_against_plain_sums():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 5, toxicity.BUCKETS).astype(np.float32), -1.5)
+    for text in (b"a", b"Ab, ab cd", b"one two three four", " ".join(f"wörd{k} x{k}" for k in range(40)).encode()):
+        words, plain = toxicity.words_of(text), []
+        for word in words:
+            marked = b"<" + word + b">"
+            pulls = []
+            for n in toxicity.SIZES:
+                for at in range(len(marked) - n + 1):
+                    code = int.from_bytes(marked[at : at + n], "little") + n
+                    code = code * 0x9E3779B97F4A7C15 % 2**64
+                    code = (code ^ code >> 32) * 0xD6E8FEB86659FD93 % 2**64
+                    pulls.append(float(model.pull[code >> 64 - 17]))
+            plain.append(sum(pulls) / max(len(pulls), 1))
+        size = min(toxicity.WINDOW, len(plain))
+        highest = max(sum(plain[k : k + size]) for k in range(len(plain) - size + 1)) / toxicity.WINDOW
+        assert model.log_odds(model.word_scores(words)) == pytest.approx(highest - 1.5, rel=1e-5)
+
+
 # The language model
 
 

@@ -28,11 +28,17 @@ def test_all_are_registered():
 def test_op2_on_held_out_labels(spark):
     found = queries.QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.1").where("held_out")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic IS NOT NULL")
-    rows = found.join(labels, "doc_id").select("score", "toxic", "predicted").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang")
+    rows = found.join(labels, "doc_id").join(docs, "doc_id").select("score", "toxic", "predicted", "lang").collect()
     bad, good = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
     better = sum((b.score > g.score) + 0.5 * (b.score == g.score) for b in bad for g in good)
-    assert better / len(bad) / len(good) > 0.8
-    assert sum(r.predicted for r in good) < 0.03 * len(good)
+    assert better / len(bad) / len(good) > 0.88
+    assert sum(r.predicted for r in good) < 0.01 * len(good)
+    assert sum(r.predicted for r in bad) > 0.6 * len(bad)
+    english = [r for r in bad if r.lang == "en"]
+    assert sum(r.predicted for r in english) > 0.8 * len(english)
+    print({lang: (sum(r.predicted for r in bad if r.lang == lang), sum(r.lang == lang for r in bad)) for lang in "de en es fr".split()},
+          sum(r.predicted for r in good), len(good), better / len(bad) / len(good))
 
 
 def test_op3_round_trip(spark):

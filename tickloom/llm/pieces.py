@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.columns import ragged
+
 #: The sign that stands for a space inside pieces, and a stand-in (never in valid text) for that
 #: sign where a text itself holds it: it is spelled in bytes, so that decoding gives it back.
 MARK, LITERAL_MARK = "▁", "\ud800"
@@ -316,12 +318,6 @@ class Lanes:
         return ids, counts
 
 
-def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """begins[0], begins[0] + 1, ... counts[0] times, then the same of the next, and so on."""
-    ends = np.cumsum(counts)
-    return np.repeat(begins - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 class Encoder:
     """Encodes many texts at once.
 

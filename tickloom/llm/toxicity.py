@@ -7,15 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.columns import ragged, settle
+
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 
-#: Words that are averaged together.
-WINDOW = 16
+#: Words that are averaged together: every run of so many counts. Window and step size were chosen
+#: on the rows to learn from, one half of them against the other.
+WINDOW = 4
 
 #: Words whose score a task remembers; the memory is emptied when full.
 MOST_REMEMBERED = 400_000
@@ -70,15 +73,18 @@ class Model:
         """Of a text, from the scores of its words in order: those of its most toxic window."""
         if not len(scores):
             return self.bias
-        return self.bias + np.add.reduceat(scores, np.arange(0, len(scores), WINDOW)).max() / WINDOW
+        sums, size = np.append(0.0, np.cumsum(scores)), min(WINDOW, len(scores))
+        return self.bias + (sums[size:] - sums[:-size]).max() / WINDOW
 
 
-def _choose(scores: np.ndarray, docs: np.ndarray, y: np.ndarray, rng) -> np.ndarray:
+def _choose(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, y: np.ndarray, rng) -> np.ndarray:
     """Windows to learn from: each text's highest one; of texts of label 0 a random one, too."""
-    order = np.lexsort((scores, docs))
-    last = np.flatnonzero(np.append(docs[order][1:] != docs[order][:-1], True))
-    other = rng.integers(0, len(docs), 2 * len(y))
-    return rng.permutation(np.concatenate([order[last], other[y[docs[other]] == 0]]))
+    highest = np.repeat(np.maximum.reduceat(scores, first), counts)
+    at = np.flatnonzero(scores == highest)
+    _, one_each = np.unique(np.repeat(np.arange(len(y)), counts)[at], return_index=True)
+    clean = np.flatnonzero(y == 0)
+    other = first[clean] + (rng.random(len(clean)) * counts[clean]).astype(np.int64)
+    return rng.permutation(np.concatenate([at[one_each], other]))
 
 
 def train(
@@ -86,16 +92,16 @@ def train(
     labels: list[int],
     dim: int = 8,
     epochs: int | None = None,
-    rate: float = 100.0,
+    rate: float = 5.0,
     batch: int = 64,
     seed: int = 1,
 ) -> Model:
     """Fit embeddings and softmax together on the cross entropy, by plain gradient steps for the
     embeddings (so rare n-grams stay weak) and Adagrad for the softmax.
 
-    A text is cut into windows of ``WINDOW`` words. A window's vector is the average over its words
-    of the average over a word's n-grams; words that the last window lacks count as zero. A text
-    is as toxic as its most toxic window, so each epoch learns from the windows that are highest
+    Each run of ``WINDOW`` words is a window, so its place in the text does not matter. A window's
+    vector is the average over its words of the average over a word's n-grams; words that a shorter
+    text lacks count as zero. A text is as toxic as its most toxic window, so each epoch learns from the windows that are highest
     under the model so far (in the first, from random ones), or one abusive word would vanish
     among thousands. Few texts are gone through more often. Without labels of both kinds the model
     answers with their share.
@@ -106,7 +112,7 @@ def train(
     share = (sum(labels) + 1) / (len(labels) + 2)
     if not filled or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    epochs = epochs or min(max(16, 60_000 // len(filled)), 60)
+    epochs = epochs or min(max(20, 100_000 // len(filled)), 60)
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
     tokens = [np.array([known.setdefault(w, len(known)) for w in split[i]]) for i in filled]
@@ -114,27 +120,30 @@ def train(
     order = np.argsort(owners, kind="stable")
     ids, sizes = ids[order], np.bincount(owners, minlength=len(known))
     starts = np.cumsum(sizes) - sizes
-    windows = [t[at : at + WINDOW] for t in tokens for at in range(0, len(t), WINDOW)]
-    docs = np.repeat(np.arange(len(filled)), [-(-len(t) // WINDOW) for t in tokens])
-    flat, lengths = np.concatenate(windows), np.array([len(w) for w in windows])
-    begins = np.cumsum(lengths) - lengths
+    flat, n_words = np.concatenate(tokens), np.array([len(t) for t in tokens])
+    counts = np.maximum(n_words - WINDOW + 1, 1)  # windows of each text
+    first = np.cumsum(counts) - counts
+    begins = ragged(np.cumsum(n_words) - n_words, counts)
+    docs = np.repeat(np.arange(len(filled)), counts)
+    lengths = np.minimum(WINDOW, n_words)[docs]
     embed = rng.normal(0, 0.1, (BUCKETS, dim))
     soft = rng.normal(0, 0.1, (dim, 2))
     bias = np.log([1 - share, share])
     seen_soft, seen_bias = np.full((dim, 2), 1e-6), np.full(2, 1e-6)
+    kept = [np.zeros(BUCKETS), 0.0]  # sums over the second half of the epochs
     for epoch in range(epochs):
         pull = embed @ (soft[:, 1] - soft[:, 0])
         by_word = np.add.reduceat(pull[ids], starts) / sizes
-        by_window = np.add.reduceat(by_word[flat], begins)
-        chosen = _choose(by_window if epoch else rng.random(len(docs)), docs, y, rng)
+        upto = np.append(0.0, np.cumsum(by_word[flat]))
+        by_window = upto[begins + lengths] - upto[begins]
+        chosen = _choose(by_window if epoch else rng.random(len(docs)), first, counts, y, rng)
         for at in range(0, len(chosen), batch):
             rows = chosen[at : at + batch]
-            words = np.concatenate([windows[r] for r in rows])
+            words = flat[ragged(begins[rows], lengths[rows])]
             row_of_word = np.repeat(np.arange(len(rows)), lengths[rows])
             row = np.repeat(row_of_word, sizes[words])
             weight = np.repeat(1 / sizes[words] / WINDOW, sizes[words])
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes[words]) - sizes[words], sizes[words])
-            part, place = np.unique(ids[np.repeat(starts[words], sizes[words]) + inside], return_inverse=True)
+            part, place = np.unique(ids[ragged(starts[words], sizes[words])], return_inverse=True)
             mix = np.bincount(row * len(part) + place, weights=weight, minlength=len(rows) * len(part))
             mix = mix.reshape(len(rows), len(part))
             vectors = mix @ embed[part]
@@ -148,33 +157,58 @@ def train(
             embed[part] -= rate * grad
             soft -= 0.1 * grad_soft / np.sqrt(seen_soft)
             bias = bias - 0.1 * grad_bias / np.sqrt(seen_bias)
-    pull = embed @ (soft[:, 1] - soft[:, 0])
-    return Model(pull.astype(np.float32), float(bias[1] - bias[0]))
+        if epoch >= epochs // 2:
+            kept[0] += embed @ (soft[:, 1] - soft[:, 0])
+            kept[1] += bias[1] - bias[0]
+    half = epochs - epochs // 2
+    return Model((kept[0] / half).astype(np.float32), float(kept[1] / half))
 
 
 def held_out(id_col: str) -> F.Column:
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    """Of the third of ids that nothing is learned from; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = 6000
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str = "toxic",
+    most: int = 6000,
+    most_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Rows (text, label): at most ``most`` labelled documents outside the held-out third.
-
-    A third of them at most are of label 1; which ones is decided by a hash of the id. The ids
-    are bounded by ``most``, and so is what is broadcast to find their texts.
+    """Rows (doc_id, text, label): at most ``most`` labelled documents outside the held-out third,
+    of ``most_bytes`` together.
+
+    A third of them at most are of label 1; which ones is decided by a hash of the id. An id counts
+    once: its labels must agree, or it is left out, and of several texts the greatest is taken.
+    Null ids, null labels and ids without a document are left out; a null text is an empty one.
+    Labels are thinned out by the hash where they are, so that only about as many as are wanted
+    come together; what is broadcast to find the texts is bounded by ``most``.
     """
-    known = labels.where(~held_out("doc_id") & F.col(label_col).isNotNull()).select(
-        "doc_id", F.col(label_col).cast("int").alias("label")
+    known = (
+        labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min(F.col(label_col).cast("int")).alias("label"), F.max(F.col(label_col).cast("int")).alias("other"))
+        .where("label = other")
+        .select("doc_id", "label", F.xxhash64("doc_id").alias("hash"))
     )
+    found = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
     def pick(label: int, number: int) -> DataFrame:
-        ranked = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id")
-        return ranked.limit(number)
-
-    chosen = pick(1, most // 3).unionByName(pick(0, most - most // 3)).dropDuplicates(["doc_id"])
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return found.select("doc_id", F.col("text").cast("binary").alias("text"), "label")
+        rows = known.where(F.col("label") == label)
+        share = (number + 6 * number**0.5 + 10) / max(found.get(label, 0), 1)
+        if share < 1:
+            rows = rows.where(F.col("hash") < int(-(1 << 63) + share * (1 << 64)))
+        return rows.orderBy("hash", "doc_id").limit(number)
+
+    chosen = pick(1, most // 3).unionByName(pick(0, most - most // 3))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    found_texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "hash")
+    rows = settle(found_texts.agg(F.max("text").alias("text")), "toxicity-sample")
+    before = Window.orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", "hash", F.octet_length("text").alias("size"))  # at most ``most`` rows
+    fit_in = sizes.withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= most_bytes)
+    return rows.join(F.broadcast(fit_in.select("doc_id")), "doc_id").select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = 6000) -> Model:
