@@ -29,10 +29,10 @@ UNKNOWN_PENALTY = 10.0
 LANE, TOGETHER = 64, 1 << 14
 
 #: Bytes of text that a task searches at a time; characters that a long stretch is fed by.
-MOST_BYTES, PORTION = 16 << 20, 1 << 16
+MOST_BYTES, PORTION = 4 << 20, 1 << 16
 
 #: Ids whose bytes a task puts together at a time.
-DECODED = 1 << 20
+DECODED = 1 << 19
 
 UNREACHED = 1 << 62
 
@@ -401,12 +401,17 @@ class Decoder:
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray, missing: pa.Array) -> pa.Array:
         """``offsets``: where the ids of each text begin, and the end."""
-        parts = [np.zeros(0, np.uint8)]
+        parts, total = [np.zeros(0, np.uint8)], 0
+        bounds = np.zeros(len(offsets), np.int64)
         for at in range(0, len(ids), DECODED):
             some = ids[at : at + DECODED]
-            parts.append(self.bytes[ragged(self.begins[some], self.sizes[some])])
+            sizes = self.sizes[some]
+            low, high = np.searchsorted(offsets, [at, at + len(some)])
+            bounds[low:high] = total + np.append(0, np.cumsum(sizes))[offsets[low:high] - at]
+            parts.append(self.bytes[ragged(self.begins[some], sizes)])
+            total += len(parts[-1])
+        bounds[np.searchsorted(offsets, len(ids)) :] = total
         data = np.concatenate(parts)
-        bounds = np.append(0, np.cumsum(self.sizes[ids]))[offsets]
         if self.prefix and len(data):
             first = bounds[:-1][np.diff(bounds) > 0]
             first = first[data[first] == 32]
