@@ -120,3 +120,24 @@ def test_pipeline_mixes_repeated_rows(make, spark):
     by = {r.doc_id: r["count"] for r in found.groupBy("doc_id").count().collect()}
     assert by == {i: n for i, n in goal.items() if n}
     assert sum(by.values()) in (7, 8, 9)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_pipeline_columns_of_any_name(make, spark, repeated):
+    given = duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+    text = next(t for t, in given if t and len(t.split()) > 80 and brute.passes(t))
+    rows = [(3, text, None, None), (4, text[:1].swapcase() + text[1:], "en", "a"), (5, text + " and more", "en", "b")]
+    own = ["_row", "__row", "_chosen", "_taken", "_copies", "_COPY", "_own"]
+    docs = make(rows + rows[2:] * repeated)
+    for name in own:
+        docs = docs.withColumn(name, F.concat(F.lit(name), "doc_id"))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs.columns, stage(spark, docs, SF)
+        kept = [*(c for c in before if c != "ids"), "ids"] if name == "sentencepiece" else before
+        assert docs.columns == kept
+        docs = docs.cache()
+        found = docs.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in own)
+        assert all(r["row"] == r["copies"] == "x" for r in found)
+        wanted = {"quality_rules": [3, 4, 5] + [5] * repeated, "exact_dedup": [4, 5]}.get(name, [4])
+        assert sorted(r.doc_id for r in found) == wanted
