@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -416,7 +417,17 @@ def test_long_words_and_portions(vocabulary, monkeypatch):
         assert pieces.Decoder(vocabulary).decode_all(ids, offsets, missing).to_pylist() == [*odd, None]
 
 
-def test_decoding_bad_bytes_and_clipped_batches(vocabulary):
+def test_portions_keep_rows_and_nulls():
+    texts = [None, "", "abc", None, "é" * 10, "", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for most in (1, 3, 100):
+        parts = list(pieces.portions(batch, pa.compute.binary_length(batch.column(0)), most))
+        assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+        assert [t for p in parts for t in p.column(0).is_null().to_pylist()] == [t is None for t in texts]
+    assert list(pieces.portions(batch.slice(0, 0), pa.array([], pa.int32()), 3)) == []
+
+
+def test_decoding_bad_bytes(vocabulary):
     half = vocabulary.byte_ids[0xC3]
     assert pieces.decode_ids([half], vocabulary) == "\ufffd" and pieces.decode_ids([], vocabulary) == ""
 

@@ -431,6 +431,15 @@ def decode_ids(ids: Sequence[int], vocabulary: Vocabulary) -> str:
     return Decoder(vocabulary).decode_all(np.array(ids, np.int32), bounds, pa.array([False]))[0].as_py()
 
 
+def portions(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``most`` by the sizes given; a larger row is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if low < high:
+            yield batch.slice(low, high - low)
+
+
 def add_ids(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -449,17 +458,17 @@ def add_ids(
     at = docs.columns.index(text_col)
     kept = [docs.columns.index(c) for c in (docs.columns if keep is None else keep)]
 
+    names = [*(docs.columns[k] for k in kept), name]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for batch in batches:
-            ids, offsets = encoder.encode_all(batch.column(at))
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(ids), mask=batch.column(at).is_null()
-            )
-            columns = [batch.column(k) for k in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, lists], [*(batch.schema.names[k] for k in kept), name]
-            )
+            for part in portions(batch, pc.binary_length(batch.column(at)), MOST_BYTES):
+                ids, offsets = encoder.encode_all(part.column(at))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(offsets, pa.int32()), pa.array(ids), mask=part.column(at).is_null()
+                )
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), lists], names)
 
     fields = [docs.schema.fields[k] for k in kept]
     kind = T.StructType([*fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
@@ -482,12 +491,12 @@ def decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(vocabulary)
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy()  # without what lies below nulls
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            offsets = np.append(0, np.cumsum(sizes))
-            texts = decoder.decode_all(flat, offsets, lists.is_null()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], ["doc_id", "ids", "text"])
+            for part in portions(batch, pc.list_value_length(batch.column(1)), DECODED):
+                lists = part.column(1)
+                flat = lists.flatten().to_numpy()  # without what lies below nulls
+                offsets = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
+                texts = decoder.decode_all(flat, offsets, lists.is_null()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], ["doc_id", "ids", "text"])
 
     given = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     kind = T.StructType([*given.schema.fields, T.StructField("text", T.StringType())])
