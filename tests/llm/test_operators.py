@@ -482,6 +482,36 @@ def test_run_index_in_portions():
     assert len(index.begin) < sum(map(len, parts))
 
 
+def test_only_segments_that_may_meet_are_indexed(monkeypatch):
+    """Texts that share one short piece are segments of one value, but most have no window in common."""
+    rng = np.random.default_rng(12)
+    piece = rng.bytes(16).replace(b"\xff", b"\x00")
+    words = np.frombuffer(piece, "<u8")
+    value = repeats.mix(repeats.mix(words[:1]) + words[1:])[0]
+
+    def around(before, after):
+        return (rng.bytes(before) + piece + rng.bytes(after)).replace(b"\xff", b"\x00")
+
+    parts = [around(34, 34) for _ in range(50)]
+    alone = len(parts)
+    for place in range(35):  # a window that holds the piece at each of its places, in two segments
+        window = around(place, 34 - place)
+        parts += [window, window + b"a" * (34 - place), b"b" * place + window, piece + window]
+    docs = rng.permutation(len(parts)) + 1
+    values = np.full(len(parts), value, np.uint64)
+    least = {}
+    for p, d in zip(parts, docs.tolist(), strict=True):
+        for k in range(len(p) - 49):
+            least[p[k : k + 50]] = min(d, least.get(p[k : k + 50], d))
+    handed = []
+    index = repeats.first_documents
+    monkeypatch.setattr(repeats, "first_documents", lambda p, d: handed.extend(p) or index(p, d))
+    for p, firsts in zip(parts, repeats.firsts_of(parts, docs, values), strict=True):
+        assert firsts.tolist() == [least[p[k : k + 50]] for k in range(len(p) - 49)]
+    assert handed == parts[alone:]
+    assert not repeats.may_meet(parts[:alone], values[:alone]).any()
+
+
 # Toxicity
 
 

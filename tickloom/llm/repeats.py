@@ -29,6 +29,9 @@ BLOCK, SHARD = 4 << 20, 16 << 20
 #: Segment bytes that are indexed together.
 INDEX = 1 << 20
 
+#: Of a window's places for its smallest piece, how many are told apart by one stretch around that piece.
+NEAR = 9
+
 #: Sorts after every document; the id of rows without one.
 NO_ID = (1 << 63) - 1
 
@@ -143,6 +146,10 @@ class RunIndex:
         self.byte = before[self.begin]
         self.sample = np.where(window[self.begin] >= 0, sample[window[self.begin]], NO_ID)
         sizes = np.diff(self.begin, append=n)
+        bits = np.packbits(change, bitorder="little")
+        self.heads = np.append(bits, np.zeros(-len(bits) % 8, np.uint8)).view("<u8")
+        counts = np.bitwise_count(self.heads).astype(np.int64)
+        self.before = np.cumsum(counts) - counts  # runs that begin before each 64 rows
         order = np.argsort(self.byte, kind="stable")
         counted = np.cumsum(sizes[order]) - sizes[order]
         heads = np.flatnonzero(np.diff(self.byte[order].astype(np.int64), prepend=-1))
@@ -185,6 +192,12 @@ class RunIndex:
         out[order] = np.cumsum(fresh)
         return out
 
+    def _runs(self, rows: np.ndarray) -> np.ndarray:
+        """The run that each row is in, by the rank of its bit among the heads of runs."""
+        word = rows >> 6
+        upto = self.heads[word] << (63 - (rows & 63)).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(upto) - 1
+
     def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Read all segments from their ends, side by side, one byte a round.
 
@@ -196,10 +209,10 @@ class RunIndex:
         for matched in range(1, int(self.lengths.max(initial=0)) + 1):
             active = int(np.searchsorted(-self.lengths[lanes], -matched, "right"))
             lanes, rows = lanes[:active], rows[:active]
-            run = np.searchsorted(self.begin, rows, "right") - 1
+            run = self._runs(rows)
             rows = self.first[self.byte[run]] + self.number[run] + rows - self.begin[run]
             if matched >= WINDOW:
-                run = np.searchsorted(self.begin, rows, "right") - 1
+                run = self._runs(rows)
                 yield matched, lanes, self.sample[run]
 
 
@@ -214,6 +227,54 @@ def first_documents(parts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return np.split(flat, starts[1:])
 
 
+def may_meet(parts: list[bytes], values: np.ndarray) -> np.ndarray:
+    """For each segment: whether it may have a window in common with another one of its value.
+
+    A window holds its smallest piece at one of 35 places. Any ``NEAR`` neighbouring places have a
+    stretch of 42 bytes around the piece in common, so segments with a common window have one of
+    the four stretches in common, and segments that have none need no search.
+    """
+    lengths = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(parts)), lengths)
+    n = len(owner)
+    data = np.frombuffer(b"".join(parts) + bytes(PIECE), np.uint8)
+    words = np.ndarray((n + 8,), "<u8", buffer=data, strides=(1,)).copy()
+    pieces = mix(mix(words[:n]) + words[8 : n + 8])
+    at = np.flatnonzero(pieces == values[owner])
+    size = WINDOW - NEAR + 1
+    keys, whose = [], []
+    for before in range(0, WINDOW - PIECE + 1, NEAR):
+        start, own = at - before, owner[at]
+        inside = (start >= ends[own] - lengths[own]) & (start + size <= ends[own])
+        start, own = start[inside], own[inside]
+        key = values[own] + np.uint64(before)
+        for step in (*range(0, size - 7, 8), size - 8):
+            key = mix(key + words[start + step])
+        keys.append(key)
+        whose.append(own)
+    keys, whose = np.concatenate(keys), np.concatenate(whose)
+    found = np.zeros(len(parts), bool)
+    if len(keys):
+        order = np.argsort(keys)
+        keys, whose = keys[order], whose[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        several = np.minimum.reduceat(whose, first) != np.maximum.reduceat(whose, first)
+        found[whose[np.repeat(several, np.diff(first, append=len(keys)))]] = True
+    return found
+
+
+def firsts_of(parts: list[bytes], docs: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """As ``first_documents``, of all distinct segments of some values; only those that may have a
+    window in common are indexed."""
+    firsts = [np.full(len(p) - WINDOW + 1, doc) for p, doc in zip(parts, docs.tolist(), strict=True)]
+    some = np.flatnonzero(may_meet(parts, values))
+    if len(some):
+        for i, own in zip(some, first_documents([parts[i] for i in some], docs[some]), strict=True):
+            firsts[i] = own
+    return firsts
+
+
 def _pack(rows: DataFrame) -> DataFrame:
     """Blocks of documents: (block, ids, sizes, text), the text compressed."""
     schema = pa.schema(
@@ -305,8 +366,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     2. Each block deals the values of its segments out to shards, which answer which of them
        several documents have.
     3. Each block sends the distinct segments with such values, and the smallest document of each,
-       to their shards. A shard indexes those whose value several distinct segments have
-       (``RunIndex``), reads them through the index, and answers with the smallest document of
+       to their shards. A shard takes those whose value several distinct segments have, indexes
+       those of them that have a longer stretch in common too (``may_meet``, ``RunIndex``), reads them through the index, and answers with the smallest document of
        every window.
     4. Each block marks the windows whose smallest document is smaller than their own.
 
@@ -405,7 +466,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             while stop < len(order) and value_of[order[stop]] == value_of[order[stop - 1]]:
                 stop += 1
             some = order[portion:stop]
-            for i, firsts in zip(some, first_documents([texts[i] for i in some], docs_of[some]), strict=True):
+            for i, firsts in zip(
+                some, firsts_of([texts[i] for i in some], docs_of[some], values_of[some]), strict=True
+            ):
                 found[i] = firsts
             portion = stop
         out = []
