@@ -283,6 +283,20 @@ def test_near_copies_at_the_limit_are_joined_in_proportion(make, monkeypatch, tu
         assert counts[1] <= 6 * max(counts[0], 80)
 
 
+def test_turns_read_again_what_is_still_crowded(spark):
+    """Rows of shingles inside one component, and of those that few sets have, go into no further turn."""
+    rows = [(1, i, 9, i % 2, 0) for i in range(12)]  # two components
+    rows += [(2, i, 9, 7, 0) for i in range(12)]  # one
+    rows += [(3, i, 9, i, 0) for i in range(4)]  # few sets
+    rare = spark.createDataFrame(rows, "shingle long, id long, size int, root long, place int")
+    met = minhash._met(rare, 0)
+    assert sorted((r.shingle, r.id) for r in met.collect()) == [(1, i) for i in range(12)]
+    assert met.select("lead").distinct().count() == 1
+    tops = spark.createDataFrame([(1, 0)], "root long, top long")
+    tied = minhash._raised(met.drop("lead"), tops)
+    assert {r.root for r in tied.collect()} == {0} and minhash._met(tied, 1).count() == 0
+
+
 def test_near_group_without_a_common_leader(make):
     """A chain of texts: only neighbours are linked, and all are one component."""
     own = [f"v{i}" for i in range(300)]

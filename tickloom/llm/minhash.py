@@ -26,6 +26,9 @@ GROUPS, WIDTH = 7, 2
 #: It decides how many pairs the join forms, not what is found.
 TURNS = 6
 
+#: Sets of a rare shingle up to which no leader is drawn.
+FEW = 4
+
 
 def _signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One key for each group: the minima of its hash functions, mixed."""
@@ -131,12 +134,32 @@ def _possible(percent: int, x: str = "x", y: str = "y") -> Column:
     return 100 * most >= percent * (size + other - most)
 
 
-def _led_again(rare: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Rows (a, b, ra, rb): each rare shingle's sets with one of them, another one in each turn, where
-    their components differ and they can reach the similarity. At most one row for each of ``rare``."""
+def _met(crowd: DataFrame, turn: int) -> DataFrame:
+    """The rows of crowded rare shingles with ``lead``: one of the shingle's sets, another one in each turn.
+
+    Left out are shingles whose sets are all in one component, and those of at most ``FEW`` sets: joining
+    them forms less than two pairs for each row.
+    """
     drawn = F.xxhash64("id", "shingle", F.lit(turn))
     one = F.struct(drawn.alias("drawn"), "id", "size", "root", "place")
-    met = with_group(rare, "shingle", "id", "lead", one, F.max)
+    value = F.struct(one.alias("lead"), F.col("root").alias("low"), F.col("root").alias("high"), F.lit(1).alias("n"))
+
+    def merge(c: Column) -> Column:
+        return F.struct(
+            F.max(c["lead"]).alias("lead"),
+            F.min(c["low"]).alias("low"),
+            F.max(c["high"]).alias("high"),
+            F.sum(c["n"].cast("long")).alias("n"),
+        )
+
+    met = with_group(crowd, "shingle", "id", "all", value, merge)
+    met = met.where((F.col("all.low") < F.col("all.high")) & (F.col("all.n") > FEW))
+    return met.select(*crowd.columns, F.col("all.lead").alias("lead"))
+
+
+def _led_again(met: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, ra, rb): each row's set with its ``lead``, where their components differ and they can
+    reach the similarity."""
     met = met.withColumn("own", F.struct("id", "size", "root", "place"))
     found = met.where((F.col("root") != F.col("lead.root")) & _possible(percent, "own", "lead"))
     low = F.col("id") < F.col("lead.id")
@@ -148,6 +171,11 @@ def _led_again(rare: DataFrame, turn: int, percent: int) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
+def _raised(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """The rows of rare shingles with their component's new name, where ``tops`` (root, top) has one."""
+    return lookup(rows, "root", "id", tops).withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
@@ -186,9 +214,11 @@ def near_groups(
     4. What is left are classes in buckets that hold several components: texts that share a
        passage, or copies changed too much for their leader. Sets that reach the similarity share
        one of their rarest shingles, and where they meet first bounds how much they can share.
-       First each rare shingle draws one of its sets as a new leader, a few times over, and the others of
-       other components are verified against it. So a large group of near copies, of which each is linked
-       with some of the others, becomes one component at a cost in proportion to its size.
+       First each rare shingle that more than ``FEW`` sets have draws one of its sets as a new leader, and
+       the others of other components are verified against it. Shingles that still lie in several
+       components draw again, a few times over, and all rows take their components' new names once, at
+       the end. So a large group of near copies, of which each is linked with some of the others, becomes
+       one component at a cost in proportion to its size.
     5. Then the rest is joined exactly on rare shingles. Pairs of different components that can
        reach the similarity are verified, so no candidate is passed over; pairs inside one component can add
        nothing and are not formed.
@@ -255,9 +285,10 @@ def near_groups(
     )
     pool = settle(mixed.join(several, "key").select("id", "root").distinct(), "mixed")
     rare = settle(_rarest(sets, pool, percent), "rarest")
-    drawn = links.limit(0)
+    drawn, crowd, moved = links.limit(0), rare, None
     for turn in range(TURNS):
-        pairs = _led_again(rare, turn, percent).join(tried, ["a", "b"], "left_anti")
+        met = settle(_met(crowd, turn), "met")
+        pairs = _led_again(met, percent).join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "drawn-pairs")
         if pairs.isEmpty():
             break
@@ -267,8 +298,14 @@ def near_groups(
             break
         tied = components(pairs.join(found, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         tops = tied.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        rare = lookup(rare, "root", "id", tops).withColumn("root", F.coalesce("top", "root")).drop("top")
-        rare = settle(rare, "rarest")
+        crowd = settle(_raised(met.drop("lead"), tops), "crowd")
+        if moved is not None:  # names of earlier turns that were tied to a smaller one now
+            higher = tops.select(F.col("root").alias("top"), F.col("top").alias("higher"))
+            moved = lookup(moved, "top", "root", higher).select("root", F.coalesce("higher", "top").alias("top"))
+            tops = moved.unionByName(tops)
+        moved = settle(tops, "moved")
+    if moved is not None:
+        rare = settle(_raised(rare, moved), "rarest")
     rest = (
         rare.alias("x")
         .join(rare.alias("y"), F.expr("x.shingle = y.shingle AND x.root < y.root") & _possible(percent))
