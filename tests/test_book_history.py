@@ -147,6 +147,13 @@ def test_top_with_decimals_and_empty_tables(spark):
     assert book_history.book_at(rows, snapshots, nothing).count() == 0
 
 
+def test_best_after_of_empty_intervals():
+    none = book_history.best_after(np.array([0, 1, 2]), np.array([0, 1, 2]), np.arange(2))
+    assert none.tolist() == [-1, -1]
+    found = book_history.best_after(np.array([0, 1]), np.array([2, 1]), np.arange(2))
+    assert found.tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 100])
 def test_best_after(n):
     rng = np.random.default_rng(n)

@@ -132,7 +132,8 @@ def best_after(starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> np.n
     """
     size = 1 << max(0, int(len(points) - 1).bit_length())
     tree = np.full(2 * size, -1, np.int64)
-    low, high, own = starts + size, ends + size, np.arange(len(starts))
+    own = np.flatnonzero(starts < ends)  # an empty one holds no point
+    low, high = starts[own] + size, ends[own] + size
     while len(low):
         odd = (low & 1) == 1
         np.maximum.at(tree, low[odd], own[odd])
