@@ -53,6 +53,23 @@ def test_versions(spark, folder):
     assert same(QueryBuilder().trades().run(spark, folder, versioned=True), rows.where("year <= 1999"))
 
 
+def test_rows_are_shuffled_once(spark, folder, monkeypatch):
+    """Rows that occur twice meet in the ranges that are written, with no shuffle of their own."""
+    rows = views.long_trades(spark, SF).where("seq % 50 = 0").cache()
+    ingest.append_batch(rows, 0, folder)
+    ingest.append_batch(rows.where("seq % 100 = 0"), 1, folder)
+    write, plans = versions._write, []
+
+    def seen(table, root, now):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return write(table, root, now)
+
+    monkeypatch.setattr(versions, "_write", seen)
+    versions.compact(spark, folder, F.lit("1999-01-02 00:00:00"))
+    assert plans[0].count("Exchange") == 1 and "rangepartitioning" in plans[0]
+    assert same(QueryBuilder().trades().run(spark, folder, versioned=True), rows)
+
+
 def test_filters_prune_folders_of_a_version(spark):
     root = views.versioned_lake(spark, SF)
     rows = QueryBuilder().trades().columns("time").markets("alpha:click/eur").period("2024-01").run(spark, root, versioned=True)

@@ -72,14 +72,14 @@ def scan(spark: SparkSession, root: str, subject: str = "trades") -> DataFrame:
 
 
 def _write(rows: DataFrame, root: str, now: Column) -> DataFrame:
-    """Write rows to folders of their own; returns the catalog of these."""
+    """Write rows, which are partitioned by range, to folders of their own; returns the catalog of these."""
+    # In the order of the folders, so that the writer need not sort again.
     spark, write_id = rows.sparkSession, uuid.uuid4().hex
-    keys = ["exchange", "instrument", "source", "bucket", *schema.TIME_ORDER]
+    keys = [*schema.PARTITION_COLUMNS, "bucket", *schema.TIME_ORDER]
     (
         lake.checked(rows)
         .withColumn("instrument", symbols.to_path(F.col("instrument")))
         .withColumn("bucket", bucket_of(F.col("time"), now))
-        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("errorifexists")
         .option("compression", "zstd")
@@ -130,7 +130,9 @@ def compact(spark: SparkSession, root: str, now: Column) -> str:
         again = spark.read.schema(fields).parquet(f"{root}/trades").join(old.select(*FOLDER), FOLDER, "left_semi")
         again = again.withColumn("instrument", symbols.from_path(F.col("instrument")))
         rows = rows.unionByName(again.select(*schema.TRADE_COLUMNS))
-    rows = rows.dropDuplicates(["exchange", "instrument", "source", *schema.TIME_ORDER])
+    # Rows that occur twice meet in the ranges that are written: one shuffle, sampled before it.
+    once = ["exchange", "instrument", "source", *schema.TIME_ORDER]
+    rows = rows.repartitionByRange(*once).dropDuplicates(once)
     stored = listed.withColumn("instrument", symbols.to_path(F.col("instrument")))
     kept = stored.join(old.select(*FOLDER), FOLDER, "left_anti").select(*CATALOG.fieldNames())
     version = uuid.uuid4().hex
